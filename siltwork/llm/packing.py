@@ -21,8 +21,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siltwork.llm.chunks import parts
 from siltwork.llm.common import record, text_or_empty
-from siltwork.llm.tokens import WordTokenizer, groups
+from siltwork.llm.tokens import WordTokenizer
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -158,7 +159,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_i
 
         for batch in batches:
             docs_in, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for part in groups([len(t) for t in texts]):
+            for part in parts(map(len, texts), 1_000_000):
                 for doc, raw in zip(docs_in[part], tokenizer.raw(texts[part])):
                     task.add(doc, np.frombuffer(raw + end, "<u4"))
                 if len(task.rows) >= 20_000:

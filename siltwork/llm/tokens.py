@@ -93,15 +93,3 @@ class WordTokenizer:
             _PER_PROCESS[path] = cls(path)
         return _PER_PROCESS[path]
 
-
-def groups(lengths: list[int], most: int = 1_000_000) -> list[slice]:
-    """Slices of consecutive texts of about ``most`` characters together."""
-    out, start, size = [], 0, 0
-    for k, n in enumerate(lengths):
-        size += n
-        if size >= most:
-            out.append(slice(start, k + 1))
-            start, size = k + 1, 0
-    if start < len(lengths):
-        out.append(slice(start, len(lengths)))
-    return out
