@@ -62,6 +62,23 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents have no paths: source, language and id stand for them."""
+    from pyspark.sql import functions as F
+
+    from siltwork.llm.licenses import licences
+
+    path = F.concat_ws("/", "source", "lang", F.format_string("%012d.txt", F.col("doc_id").cast("long")))
+    files = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), path.alias("path"), "text")
+    return licences(files, by="first").withColumnRenamed("id", "doc_id")
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siltwork.llm.pii import find_personal_data
+
+    return find_personal_data(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
