@@ -1 +1 @@
-
+"""Part of the log engine."""
