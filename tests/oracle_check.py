@@ -19,9 +19,8 @@ def _cell(x):
     return str(x)
 
 
-def rows_of(frame) -> list[tuple]:
-    columns = sorted(frame.columns)
-    return sorted((tuple(_cell(x) for x in row) for row in frame[columns].astype(object).where(frame[columns].notna(), None).itertuples(index=False)), key=str)
+def rows_of(rows: list[dict]) -> list[tuple]:
+    return sorted((tuple(_cell(row[c]) for c in sorted(row)) for row in rows), key=str)
 
 
 def mismatch(spark, sf_dir: str, query, sql: str) -> str | None:
@@ -34,11 +33,13 @@ def mismatch(spark, sf_dir: str, query, sql: str) -> str | None:
     for p in glob.glob(f"{sf_dir}/*.parquet"):
         name = os.path.basename(p).removesuffix(".parquet")
         con.execute(f"create view {name} as select * from read_parquet('{p}{'/*.parquet' if os.path.isdir(p) else ''}')")
-    want = con.execute(sql).df()
-    got = query(spark, sf_dir).toPandas()
-    if sorted(want.columns) != sorted(got.columns):
-        return f"columns {sorted(got.columns)} instead of {sorted(want.columns)}"
-    a, b = rows_of(got), rows_of(want)
+    done = con.execute(sql)
+    names = [d[0] for d in done.description]
+    want = [dict(zip(names, row)) for row in done.fetchall()]
+    found = query(spark, sf_dir)
+    if sorted(names) != sorted(found.columns):
+        return f"columns {sorted(found.columns)} instead of {sorted(names)}"
+    a, b = rows_of(found.toArrow().to_pylist()), rows_of(want)
     if a != b:
         first = next(((x, y) for x, y in zip(a, b) if x != y), None)
         return f"{len(a)} rows, {len(b)} wanted; first difference {first}"
