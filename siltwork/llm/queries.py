@@ -41,7 +41,7 @@ def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siltwork.llm.warc import archive_round_trip
 
-    return archive_round_trip(_table(spark, sf_dir, "pages"))
+    return archive_round_trip(_table(spark, sf_dir, "pages")).drop("archive")
 
 
 def op6_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
