@@ -1,8 +1,10 @@
 """Near-duplicate documents by MinHash bands, odd sketches and confirmation on full sets.
 
-A document's set holds its distinct 5-word shingles.  Its MinHash samples give bands of rows, and
-fold into an odd sketch: each sample toggles one bit of a bitmap, so that the population count of
-two sketches' XOR estimates high similarities closely (Mitzenmacher, Pagh and Pham, 2014).
+A document's set holds its distinct 5-word shingles.  MinHash samples under 120 functions give bands
+of rows; the bottom-k sample under one function folds into an odd sketch: each sample toggles one
+bit of a bitmap, so that the population count of two sketches' XOR estimates high similarities
+closely (Mitzenmacher, Pagh and Pham, 2014).  A set of at most k shingles is its own sample; then
+the count never exceeds the number of shingles that differ, and the sketch drops no link.
 
 1. Documents with equal sets are one class; only classes go on.
 2. Each band's bucket links its members to the member with the smallest hash: as many candidates as
@@ -23,7 +25,6 @@ no rows; other columns are ignored.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,12 +37,11 @@ from siltwork.llm.chunks import RunCache, hash_code, mix, parts
 from siltwork.llm.common import Scratch, record, text_or_empty
 from siltwork.llm.components import components
 
-BANDS, ROWS, BITS = 24, 5, 512
+BANDS, ROWS, BITS, BOTTOM = 24, 5, 1024, 1024
 _SAMPLES = BANDS * ROWS
 _RNG = np.random.default_rng(90_210)
 _FACTORS = _RNG.integers(0, 1 << 64, _SAMPLES, np.uint64) | np.uint64(1)
 _PLACES = _RNG.integers(0, 1 << 64, 64, np.uint64) | np.uint64(1)
-_SALTS = mix(np.arange(1, _SAMPLES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
 def shingles(words: np.ndarray, size: int = 5) -> np.ndarray:
@@ -71,22 +71,33 @@ def bands(samples: np.ndarray) -> np.ndarray:
     return total.view(np.int64)
 
 
-def odd_sketch(samples: np.ndarray) -> np.ndarray:
-    place = mix(samples ^ _SALTS) % np.uint64(BITS)
+def odd_sketch(found: np.ndarray) -> np.ndarray:
+    """Bitmap of the parity of the bottom-k sample, from the sorted shingle hashes."""
+    place = mix(found[:BOTTOM] ^ np.uint64(0x9E3779B97F4A7C15)) % np.uint64(BITS)
     parity = (np.bincount(place.astype(np.int64), minlength=BITS) & 1).astype(np.uint8)
     return np.packbits(parity).view(np.int64)
 
 
-def estimate(differing: int) -> float:
-    """Similarity that an XOR population count stands for."""
-    return 1 + BITS / (4 * _SAMPLES) * math.log(max(1e-9, 1 - 2 * differing / BITS))
+def most_differing(sizes, other, percent: int, m=np, deviations: float = 5.0):
+    """Largest XOR population count that a linked pair of sets of these sizes has.
 
+    Exact where both sets are their own sample, else short of so many deviations.  ``m`` has the
+    functions: numpy's, or those of columns.
+    """
+    shared = m.ceil(percent * (sizes + other) / (100 + percent))
+    exact = sizes + other - 2 * shared
+    large = m.maximum(sizes, other)
+    share = shared / large
+    differ = m.minimum(sizes, BOTTOM) + m.minimum(other, BOTTOM) - 2 * BOTTOM * share + 2 * deviations * m.sqrt(2 * BOTTOM * m.maximum(share * (1 - share), 0.0))
+    sampled = m.minimum(differ, BITS / 2 * (1 - m.exp(-2 / BITS * differ)) + 16)
+    return m.where(large <= BOTTOM, exact, sampled)
 
-def most_differing(similarity: float, deviations: float = 5.0) -> int:
-    """Largest population count that a pair of this similarity has, short of so many deviations."""
-    low = similarity - deviations * math.sqrt(similarity * (1 - similarity) / _SAMPLES) - 0.02
-    toggled = 2 * _SAMPLES * (1 - max(0.0, low))
-    return math.ceil(BITS / 2 * (1 - math.exp(-2 * toggled / BITS)))
+
+class _Columns:
+    ceil, sqrt, exp = F.ceil, F.sqrt, F.exp
+    minimum = staticmethod(lambda a, b: F.least(a, b if hasattr(b, "cast") else F.lit(b)))
+    maximum = staticmethod(lambda a, b: F.greatest(a, b if hasattr(b, "cast") else F.lit(b)))
+    where = staticmethod(lambda test, a, b: F.when(test, a).otherwise(b))
 
 
 def word_hashes(cache: RunCache, texts: list[str]) -> list[np.ndarray]:
@@ -110,9 +121,8 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
                     n.append(len(found))
                     hi.append(digest[0])
                     lo.append(digest[1])
-                    samples = minhashes(found) if len(found) else None
-                    keys.append([] if samples is None else bands(samples))
-                    bits.append([] if samples is None else odd_sketch(samples))
+                    keys.append(bands(minhashes(found)) if len(found) else [])
+                    bits.append(odd_sketch(found) if len(found) else [])
                 yield record(schema, {"doc_id": batch.column(0)[part], "n_shingles": n, "hi": hi, "lo": lo, "bands": keys, "sketch": bits})
 
     return docs.mapInArrow(run, "doc_id long, n_shingles long, hi long, lo long, bands array<long>, sketch array<long>")
@@ -155,7 +165,7 @@ def _differing(left: str, right: str):
     return sum(F.bit_count(F.col(left)[i].bitwiseXOR(F.col(right)[i])) for i in range(BITS // 64))
 
 
-def _open_pairs(rows: DataFrame, scratch: Scratch, limit: int, percent: int, chunk_rows: int) -> DataFrame:
+def _open_pairs(rows: DataFrame, scratch: Scratch, percent: int, chunk_rows: int) -> DataFrame:
     """Pairs of different components that pass by sketch, from rows (bucket, rep, label, n, sketch) of open buckets."""
     by_label = rows.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("c"))
     main = by_label.groupBy("bucket").agg(F.sum("c").alias("m"), F.max(F.struct("c", "label"))["label"].alias("main"))
@@ -194,7 +204,7 @@ def _open_pairs(rows: DataFrame, scratch: Scratch, limit: int, percent: int, chu
                     i, j = np.nonzero(ok)
                     for q in range(0, len(i), 131_072):
                         iq, jq = i[q : q + 131_072], j[q : q + 131_072]
-                        pick = np.bitwise_count(sketch[t][iq] ^ h_sketch[jq]).sum(1) <= limit
+                        pick = np.bitwise_count(sketch[t][iq] ^ h_sketch[jq]).sum(1) <= most_differing(n[t][iq], h_n[jq], percent)
                         out_a.append(np.minimum(rep[t][iq[pick]], h_rep[jq[pick]]))
                         out_b.append(np.maximum(rep[t][iq[pick]], h_rep[jq[pick]]))
             if out_a:
@@ -204,11 +214,10 @@ def _open_pairs(rows: DataFrame, scratch: Scratch, limit: int, percent: int, chu
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
-def near_duplicates(documents: DataFrame, *, shingle: int = 5, percent: int = 85, chunk_rows: int = 512) -> DataFrame:
+def near_duplicates(documents: DataFrame, *, shingle: int = 5, percent: int = 85, chunk_rows: int = 2048) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row."""
     scratch = Scratch(documents.sparkSession, "near")
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty("text").alias("text"))
-    limit = most_differing(percent / 100)
     signed = scratch.save("signed", signatures(docs, shingle))
     usable = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
     picked = signed.where(usable)
@@ -220,7 +229,7 @@ def near_duplicates(documents: DataFrame, *, shingle: int = 5, percent: int = 85
     stars = rows.join(leaders, "bucket").where("rep <> a").select("a", F.col("rep").alias("b")).distinct()
 
     side = lambda x: classes.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"))
-    close = (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (_differing("s_a", "s_b") <= limit)
+    close = (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (_differing("s_a", "s_b") <= most_differing(F.col("n_a"), F.col("n_b"), percent, _Columns))
     candidates = scratch.save("stars", stars.join(side("b"), "b").join(side("a"), "a").where(close).select("a", "b").distinct())
     links = _confirm(candidates, docs, scratch, "stars", shingle, percent)
     labels = components(links, scratch, name="first")
@@ -231,7 +240,7 @@ def near_duplicates(documents: DataFrame, *, shingle: int = 5, percent: int = 85
     unsettled = many.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("bucket")
     unsettled = scratch.save("unsettled", unsettled)
     left = many.join(unsettled, "bucket").join(classes.select("rep", "n", "sketch"), "rep").select("bucket", "rep", "label", "n", "sketch")
-    more = _open_pairs(scratch.save("open", left), scratch, limit, percent, chunk_rows)
+    more = _open_pairs(scratch.save("open", left), scratch, percent, chunk_rows)
     more = scratch.save("more", more.join(candidates.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
     scratch.drop("many", "open", "main", "unsettled")
     if not more.isEmpty():

@@ -253,16 +253,18 @@ def test_near_duplicates_equal_brute_force(spark):
     assert sorted(str(r.component_id) for r in near_duplicates(odd).collect()) == ["7", "7", "None", "None"]
 
 
-def test_odd_sketch_estimates_high_similarity():
-    from siltwork.llm.near_duplicates import estimate, minhashes, mix, most_differing, odd_sketch
-
-    a = mix(np.arange(1, 1001, dtype=np.uint64))
-    for similarity in (0.95, 0.85, 0.7):
-        k = round(1000 * (1 - similarity) / (1 + similarity))
-        b = np.concatenate([a[k:], mix(np.arange(5000, 5000 + k, dtype=np.uint64))])
-        differing = int(np.bitwise_count((odd_sketch(minhashes(a)) ^ odd_sketch(minhashes(b))).view(np.uint64)).sum())
-        assert abs(estimate(differing) - similarity) < 0.12
-        assert similarity < 0.8 or differing <= most_differing(0.85)
+@pytest.mark.parametrize("size", [40, 1000, 6000])
+def test_odd_sketch_tells_high_similarity(size):
+    from siltwork.llm.near_duplicates import mix, most_differing, odd_sketch
+
+    def of(*ranges):
+        return np.unique(mix(np.concatenate([np.arange(*r) for r in ranges]).astype(np.uint64)))
+
+    for similarity in (0.97, 0.86, 0.6):
+        k = int(size * (1 - similarity) / (1 + similarity))
+        a, b = of((1, size + 1)), of((k + 1, size + 1), (10**6, 10**6 + k))
+        differing = int(np.bitwise_count((odd_sketch(a) ^ odd_sketch(b)).view(np.uint64)).sum())
+        assert (differing <= most_differing(np.asarray([len(a)]), np.asarray([len(b)]), 85)[0]) == (similarity > 0.85)
 
 
 def test_components_of_a_long_path_and_a_hub(spark):
