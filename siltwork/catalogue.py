@@ -46,7 +46,7 @@ def _model(name: str, table: str, statements: str, sql: str | None, tables: tupl
 _LI = "l_orderkey = read(); l_linenumber = read();"
 _LIS = "l_orderkey, l_linenumber::bigint l_linenumber"
 _model("calc_add_mul", "lineitem", _LI + "x = calc(read(l_orderkey) * 3 + read(l_partkey) - 7); y = calc(read(l_extendedprice) * 0.7 + read(l_quantity) * 0.3);", f"select {_LIS}, l_orderkey*3+l_partkey-7 as x, l_extendedprice*0.7::double+l_quantity*0.3::double as y from lineitem")
-_model("calc_div", "lineitem", _LI + "x = calc(read(l_orderkey) / read(l_partkey)); y = calc(read(l_extendedprice) / read(l_quantity));", f"select {_LIS}, l_orderkey::double/l_partkey::double x, l_extendedprice/l_quantity y from lineitem")
+_model("calc_div", "lineitem", _LI + "x = calc(read(l_orderkey) / read(l_partkey)); y = calc(read(l_extendedprice) / read(l_quantity));", f"select {_LIS}, l_orderkey::double/nullif(l_partkey,0)::double x, l_extendedprice/nullif(l_quantity,0) y from lineitem")
 _model("calc_div_zero", "lineitem", _LI + "x = calc(read(l_orderkey) / (read(l_linenumber) - 1)); y = calc(read(l_orderkey) % (read(l_linenumber) - 1));", f"select {_LIS}, l_orderkey::double/nullif(l_linenumber-1,0)::double x, (l_orderkey % nullif(l_linenumber-1,0))::bigint y from lineitem")
 _model("calc_mod", "lineitem", _LI + "x = calc((0 - read(l_orderkey)) % 7);", f"select {_LIS}, ((0-l_orderkey) % 7)::bigint x from lineitem")
 _model("calc_round", "lineitem", _LI + "r = calc(round(read(l_extendedprice) / 3)); f = calc(floor(read(l_extendedprice) - 5000.5)); c = calc(ceil(read(l_tax) * 100)); n = calc(round(0 - read(l_quantity) / 4)); a = calc(abs(5000 - read(l_extendedprice)));", f"select {_LIS}, round(l_extendedprice/3)::bigint r, floor(l_extendedprice-5000.5::double)::bigint f, ceil(l_tax*100)::bigint c, round(0-l_quantity/4)::bigint n, abs(5000-l_extendedprice) a from lineitem")
