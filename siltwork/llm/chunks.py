@@ -16,7 +16,7 @@ import xxhash
 class RunCache:
     """Joined codes of each text's runs; ``code`` maps one run (str or bytes) to bytes."""
 
-    def __init__(self, code: Callable, limit: int = 500_000):
+    def __init__(self, code: Callable, limit: int = 150_000):
         self._code, self._limit, self._known = code, limit, {}
 
     def join(self, runs_of_texts: list[list]) -> list[bytes]:

@@ -164,6 +164,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_i
                     task.add(doc, np.frombuffer(raw + end, "<u4"))
                 if len(task.rows) >= 20_000:
                     yield flush()
+        tokenizer.forget()
         task.close_all(last=True)
         if task.rows:
             yield flush()

@@ -64,7 +64,7 @@ def grams(raw: bytes) -> np.ndarray:
 
 
 def _cache() -> RunCache:
-    return RunCache(_code, 400_000)
+    return RunCache(_code)
 
 
 @dataclass

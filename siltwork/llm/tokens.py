@@ -24,7 +24,7 @@ _PER_PROCESS: dict[str, "WordTokenizer"] = {}
 class WordTokenizer:
     """``raw(texts)`` has the bytes of ``Tokenizer.encode(text, add_special_tokens=False).ids`` of each text."""
 
-    def __init__(self, path: str, cache_words: int = 500_000):
+    def __init__(self, path: str, cache_words: int = 250_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -86,6 +86,10 @@ class WordTokenizer:
     def ids(self, text: str) -> np.ndarray:
         return np.frombuffer(self.raw([text])[0], "<u4")
 
+    def forget(self) -> None:
+        """Empty the caches: a worker that waits for other tasks should hold the vocabulary only."""
+        self._words, self._cores = {}, {}
+
     @classmethod
     def of_process(cls, path: str) -> "WordTokenizer":
         """One tokenizer for all tasks that a Python worker runs."""
