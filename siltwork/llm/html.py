@@ -4,8 +4,10 @@ Markup is stripped first: comments, scripts and styles go with their content, as
 are boilerplate by name (nav, header, footer, aside, form, ...) or by a word of their class, id or
 role; each leaves one empty line.  Every block element is a line.  The text lengths, links not
 counted, are summed over sliding windows of lines; a surge is where the sum first reaches a
-threshold, a dive where it falls to nothing; the lines between them are kept.  Where the page marks
-its article or main element, lines outside count as empty and any text inside makes a surge.
+threshold, a dive where it falls to nothing; the lines between them are kept.  Where article or main
+elements that are no boilerplate hold text, and at least as much as the rest of the page, a shortcut
+goes by these tags: lines outside count as empty and any text inside makes a surge.  Elsewhere
+(empty ones, comments, teaser cards) the windows decide over the whole page.
 
 Defined cases: null and empty html give empty text; a page without a surge keeps the run of lines
 with the most text; unclosed elements end with the page, unclosed boilerplate at the next heading or
@@ -71,10 +73,9 @@ def _skip(tags: list, k: int) -> int:
 
 
 def lines_of(html: str) -> tuple[list[tuple[str, int, bool]], bool]:
-    """(text, length without links, inside article or main) of each line, and whether such an element is there."""
+    """(text, length without links, inside article or main) of each line, and whether what is inside is the page's main part."""
     source = _SILENT.sub(lambda m: "" if m[0].startswith("<!") or m[0].startswith("<?") else " ", html)
     tags = [(m[1] == "/", m[2].lower(), m[3], m.start(), m.end()) for m in _TAG.finditer(source)]
-    marked = any(not t[0] and t[1] in ("article", "main") for t in tags)
     lines: list[tuple[str, int, bool]] = []
     parts: list[str] = []
     linked, in_link, content, at, k = 0, 0, 0, 0, 0
@@ -116,7 +117,8 @@ def lines_of(html: str) -> tuple[list[tuple[str, int, bool]], bool]:
             content = max(0, content - 1) if closing else content + 1
         k += 1
     end_line()
-    return lines, marked
+    held = sum(len(t) for t, _, inside in lines if inside)
+    return lines, 0 < held >= sum(n for _, n, inside in lines if not inside)
 
 
 def main_text(html: str | None, *, width: int = 3, surge: int = 80) -> str:

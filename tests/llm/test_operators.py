@@ -154,6 +154,17 @@ def test_html(spark):
     assert len(rows) == 4 and all(r.n_chars == len(r.text) for r in rows)
 
 
+def test_html_marks_that_hold_no_main_text():
+    from siltwork.llm.html import main_text
+
+    body = "".join(f"<p>{prose(60, k)}</p>" for k in range(3))
+    want = "\n\n".join(prose(60, k) for k in range(3))
+    for marks in ("<div class='comments'><article>nice</article></div>", "<aside><article>teaser</article></aside>", "<article class='comment'>nice</article>", "<main></main>", "<article><nav>x</nav></article>"):
+        assert main_text(f"<body><div>{body}</div>{marks}</body>") == want, marks
+    assert main_text(f"<div>{body}</div><ul><li><a>x</a></ul>" + "<article>short teaser</article>" * 3).startswith(want)
+    assert main_text(f"<main>{body}</main><div>{prose(30)}</div>") == want
+
+
 def test_warc_round_trip(spark, tmp_path):
     from siltwork.llm.warc import archive_round_trip, base32_sha1
 
