@@ -2,15 +2,16 @@
 
 Markup is stripped first: comments, scripts and styles go with their content, as do elements that
 are boilerplate by name (nav, header, footer, aside, form, ...) or by a word of their class, id or
-role; each leaves one empty line.  Every block element is a line.  The text lengths, links not
-counted, are summed over sliding windows of lines; a surge is where the sum first reaches a
-threshold, a dive where it falls to nothing; the lines between them are kept.  Where article or main
+role; each ends a line and leaves none, so that adverts do not part a text.  Every block element is
+a line.  The text lengths, links not counted, are summed over sliding windows of lines; a surge is
+where the sum first reaches a threshold, a dive where it falls to nothing; the lines between them
+are kept, and so are those before the surge, back to the previous dive.  Where article or main
 elements that are no boilerplate hold text, and at least as much as the rest of the page, a shortcut
 goes by these tags: lines outside count as empty and any text inside makes a surge.  Elsewhere
 (empty ones, comments, teaser cards) the windows decide over the whole page.
 
-Defined cases: null and empty html give empty text; a page without a surge keeps the run of lines
-with the most text; unclosed elements end with the page, unclosed boilerplate at the next heading or
+Defined cases: null and empty html give empty text; a page without a surge keeps all lines
+with text of their own; unclosed elements end with the page, unclosed boilerplate at the next heading or
 article; a ``<`` that begins no tag is text; pages of any length are read whole.
 """
 
@@ -100,7 +101,6 @@ def lines_of(html: str) -> tuple[list[tuple[str, int, bool]], bool]:
         closing, name, attributes, _, at = tags[k]
         if not closing and name not in _VOID and _is_boilerplate(name, attributes, content > 0):
             end_line()
-            lines.append(("", 0, content > 0))
             k = _skip(tags, k)
             at = tags[k][4] if k < len(tags) else len(source)
             if k < len(tags) and not tags[k][0] and tags[k][1] != name:
@@ -121,33 +121,35 @@ def lines_of(html: str) -> tuple[list[tuple[str, int, bool]], bool]:
     return lines, 0 < held >= sum(n for _, n, inside in lines if not inside)
 
 
-def main_text(html: str | None, *, width: int = 3, surge: int = 80) -> str:
-    """Lines between surge and dive points, joined by an empty line."""
-    lines, marked = lines_of(html or "")
-    if not lines:
-        return ""
-    sizes = [(len(t) if inside else 0) if marked else n for t, n, inside in lines]
-    least = 1 if marked else surge
+def _between_surge_and_dive(sizes: list[int], width: int, least: int) -> list[bool]:
+    """Which lines lie between dives, in stretches where a window's sum reaches ``least``."""
     sums = [sum(sizes[i : i + width]) for i in range(len(sizes))]
-    kept = [False] * len(lines)
+    kept = [False] * len(sizes)
     i = 0
-    while i < len(lines):
-        if sums[i] < least or not sizes[i]:
+    while i < len(sizes):
+        if not sizes[i]:
             i += 1
             continue
         end = i
-        while end < len(lines) and sums[end] > 0:
+        while end < len(sizes) and sums[end] > 0:
             end += 1
-        for j in range(i, end):
-            kept[j] = not marked or lines[j][2]
+        if max(sums[i:end]) >= least:
+            kept[i:end] = [True] * (end - i)
         i = end
+    return kept
+
+
+def main_text(html: str | None, *, width: int = 3, surge: int = 80) -> str:
+    """Lines between surge and dive points, joined by an empty line."""
+    lines, marked = lines_of(html or "")
+    if not lines:
+        return ""
+    sizes = [(len(t) if inside else 0) if marked else n for t, n, inside in lines]
+    kept = _between_surge_and_dive(sizes, width, 1 if marked else surge)
     if not any(kept):
-        best, start = (0, 0, 0), 0
-        for j in range(len(lines) + 1):
-            if j == len(lines) or not sizes[j]:
-                best = max(best, (sum(sizes[start:j]), start, j))
-                start = j + 1
-        kept[best[1] : best[2]] = [True] * (best[2] - best[1])
+        kept = _between_surge_and_dive(sizes, width, 1)
+    if marked:
+        kept = [k and inside for k, (_, _, inside) in zip(kept, lines)]
     return "\n\n".join(t for (t, _, _), k in zip(lines, kept) if k and t)
 
 

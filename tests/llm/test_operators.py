@@ -165,6 +165,18 @@ def test_html_marks_that_hold_no_main_text():
     assert main_text(f"<main>{body}</main><div>{prose(30)}</div>") == want
 
 
+def test_html_windows_drop_no_line_of_the_article():
+    from siltwork.llm.html import main_text
+
+    links, advert = "<ul>" + "<li><a href=x>link</a></li>" * 8 + "</ul>", "<div class='ad'>buy</div>"
+    lines = ["h" * 17, "b" * 20, "d" * 12, "p " * 149 + "p"]
+    page = f"{links}<h1>{lines[0]}</h1>" + "".join(f"<p>{x}</p>" for x in lines[1:])
+    assert main_text(page + links) == "\n\n".join(lines)
+    assert main_text(page + advert * 3 + "<p>short one</p><p>short two</p>" + links) == "\n\n".join([*lines, "short one", "short two"])
+    assert main_text(f"<p>one short</p>{advert}<p>two short</p>{links}") == "one short\n\ntwo short"
+    assert main_text(f"<p>one short</p>{links}<p>two short</p>") == "one short\n\ntwo short"
+
+
 def test_warc_round_trip(spark, tmp_path):
     from siltwork.llm.warc import archive_round_trip, base32_sha1
 
