@@ -6,11 +6,12 @@ are code points.  The expressions are written so that Java's matcher neither rec
 possessive quantifiers where the next sign can't belong to the run, and look-behinds that start a
 match at the beginning of its run or at the end of the match before.
 
-Bootstrapping: tokens with a digit or an at sign are instances, the two words before them are
-patterns.  Instances inside base spans are seeds.  On the bipartite graph of patterns and instances
+Bootstrapping: whole base spans, and maximal runs of other tokens with a digit or an at sign that
+only blanks part, are instances; the two words of the text before them are patterns.  The base spans
+are seeds.  On the bipartite graph of patterns and instances
 a pattern's confidence is the mean score of its instances and an unseen instance's score the mean
 confidence of its patterns, in turns; patterns that end confident, and that enough different seeds
-support, add the unseen tokens that follow them as spans of their kind.
+support, add the unseen runs that follow them as spans of their kind.
 
 Defined cases: null text is empty and has no spans; texts of any length are read whole; repeated
 rows have the same spans, and count once as evidence; a null doc_id keeps its row; an empty table
@@ -89,28 +90,85 @@ def _spans(text: Column, matches: Column, pattern: str) -> Column:
 _EMPTY = "array<struct<s: int, e: int, match: string, before: string>>"
 
 
-def base_spans(docs: DataFrame, text: str, prefix: str = "pii_") -> DataFrame:
-    """Adds, per kind, the array of its base spans, and the array of identifier-like tokens."""
+def base_spans(docs: DataFrame, text: str, prefix: str = "pii_", window: int = 80) -> DataFrame:
+    """Adds, per kind, the array of its base spans, and the array of instances (s, e, match, near, kind).
+
+    ``near`` is the text before an instance, at most ``window`` long; kind is null where no base span is.
+    """
     t = F.col(text)
     names = [*KINDS, "token"]
     found = docs.select("*", *[F.when(t.rlike(_MAYBE), F.regexp_extract_all(t, F.lit(PATTERNS.get(k, _TOKEN)), F.lit(0))).alias(f"{prefix}m_{k}") for k in names])
     none = F.array().cast(_EMPTY)
     out = found.select("*", *[F.when(F.size(f"{prefix}m_{k}") > 0, _spans(t, F.col(f"{prefix}m_{k}"), PATTERNS.get(k, _TOKEN))).otherwise(none).alias(f"{prefix}r_{k}") for k in names])
     kept = [F.filter(f"{prefix}r_{k}", _test(k)).alias(f"{prefix}{k}") for k in KINDS]
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns], *kept, F.col(f"{prefix}r_token").alias(f"{prefix}token"))
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    out = out.select(*own, *kept, F.col(f"{prefix}r_token"))
+    free = F.filter(f"{prefix}r_token", lambda x: ~_overlaps_any(x, KINDS, prefix))
+    kinds = [F.col(f"{prefix}{k}") for k in KINDS]
+    out = out.select(*own, *kinds, F.col(f"{prefix}r_token"), free.alias(f"{prefix}free"))
+    instances = F.concat(_seeds(t, window, prefix), _runs(t, F.col(f"{prefix}free"), window))
+    return out.select(*own, *kinds, F.when(F.size(f"{prefix}r_token") > 0, instances).otherwise(F.array().cast(_INSTANCES)).alias(f"{prefix}token"))
+
+
+_INSTANCES = "array<struct<s: int, e: int, match: string, near: string, kind: string>>"
+
+
+def _overlap(x: Column, y: Column) -> Column:
+    return (x["s"] < y["e"]) & (x["e"] > y["s"])
+
+
+def _overlaps_any(x: Column, kinds: tuple, prefix: str) -> Column:
+    out = F.lit(False)
+    for k in kinds:
+        out = out | F.exists(f"{prefix}{k}", lambda y: _overlap(x, y))
+    return out
+
+
+def _instance(text: Column, window: int, s: Column, e: Column, match: Column, start: Column, kind: Column) -> Column:
+    near = F.substr(text, F.greatest(F.lit(1), start - window + 1), F.least(start, F.lit(window)))
+    return F.struct(s.alias("s"), e.alias("e"), match.alias("match"), near.alias("near"), kind.cast("string").alias("kind"))
+
+
+def _seeds(text: Column, window: int, prefix: str) -> Column:
+    """The base spans that overlap none of an earlier kind; their context ends where their first token begins."""
+
+    def of(n: int, kind: str) -> Column:
+        def one(x: Column) -> Column:
+            first = F.get(F.filter(f"{prefix}r_token", lambda y: _overlap(x, y)), F.lit(0))
+            return _instance(text, window, x["s"], x["e"], x["match"], first["s"], F.lit(kind))
+
+        return F.transform(F.filter(f"{prefix}{kind}", lambda x: ~_overlaps_any(x, KINDS[:n], prefix)), one)
+
+    return F.concat(*[of(n, k) for n, k in enumerate(KINDS)])
+
+
+def _runs(text: Column, free: Column, window: int) -> Column:
+    """Maximal runs of tokens outside base spans with nothing but blanks between."""
+    n = F.size(free)
+
+    def apart(i: Column) -> Column:
+        x = F.get(free, i)
+        return (i == 0) | (x["s"] - F.length(x["before"]) != F.get(free, i - 1)["e"]) | ~x["before"].rlike(r"^[\x20\t]++$")
+
+    def one(x: Column) -> Column:
+        first, end = F.get(free, x["i"]), F.get(free, x["j"] - 1)
+        match = F.array_join(F.transform(F.slice(free, x["i"] + 1, x["j"] - x["i"]), lambda y: y["match"]), " ")
+        return _instance(text, window, first["s"], end["e"], match, first["s"], F.lit(None))
+
+    indices = F.filter(F.sequence(F.lit(0), n - 1), apart)
+    # the array of starts is bound once, as a lambda's argument
+    pairs = F.flatten(F.transform(F.array(indices), lambda at: F.transform(at, lambda i, k: F.struct(i.alias("i"), F.coalesce(F.get(at, k + 1), n).alias("j")))))
+    return F.when(n > 0, F.transform(pairs, one)).otherwise(F.array().cast(_INSTANCES))
 
 
-def _context(before: Column, window: int) -> Column:
-    """The two words before a token, lower-cased, digits as 0; empty where there are fewer."""
-    near = F.lower(F.substr(before, F.greatest(F.lit(1), F.length(before) - window + 1), F.lit(window)))
-    return F.regexp_replace(F.regexp_replace(F.regexp_extract(near, r"(?<!\S)(\S++\s++\S++)\s++$", 1), r"\s+", " "), "[0-9]", "0")
+def _context(near: Column) -> Column:
+    """The two words before an instance, lower-cased, digits as 0; empty where there are fewer."""
+    return F.regexp_replace(F.regexp_replace(F.regexp_extract(F.lower(near), r"(?<!\S)(\S++\s++\S++)\s++$", 1), r"\s+", " "), "[0-9]", "0")
 
 
-def candidates(spans: DataFrame, window: int = 80, prefix: str = "pii_") -> DataFrame:
-    """(doc_id, h, context, instance, s, e, kind): identifier-like tokens in context; kind where a base span overlaps."""
-    token = F.col("x")
-    kind = F.coalesce(*[F.when(F.exists(f"{prefix}{k}", lambda y: (y["s"] < token["e"]) & (y["e"] > token["s"])), F.lit(k)) for k in KINDS])
-    rows = spans.select("*", F.explode(f"{prefix}token").alias("x")).select("doc_id", "h", _context(token["before"], window).alias("context"), F.lower(token["match"]).alias("instance"), token["s"].alias("s"), token["e"].alias("e"), kind.alias("kind"))
+def candidates(spans: DataFrame, prefix: str = "pii_") -> DataFrame:
+    """(doc_id, h, context, instance, s, e, kind): instances in context; kind where they are base spans."""
+    rows = spans.select("*", F.explode(f"{prefix}token").alias("x")).select("doc_id", "h", _context(F.col("x.near")).alias("context"), F.lower("x.match").alias("instance"), "x.s", "x.e", "x.kind")
     return rows.where("context <> ''")
 
 
@@ -134,9 +192,9 @@ def confident_patterns(found: DataFrame, scratch: Scratch, *, rounds: int = 3, l
     return patterns.where((F.col("support") >= least_support) & (F.col("confidence") >= least_confidence)).groupBy("context").agg(best["kind"].alias("kind"))
 
 
-def discover(spans: DataFrame, scratch: Scratch, *, window: int = 80, prefix: str = "pii_", **options) -> DataFrame | None:
+def discover(spans: DataFrame, scratch: Scratch, *, prefix: str = "pii_", **options) -> DataFrame | None:
     """(doc_id, h, more): arrays of (kind, s, e) that confident patterns add; None where there are none."""
-    found = scratch.save("found", candidates(spans, window, prefix))
+    found = scratch.save("found", candidates(spans, prefix))
     patterns = scratch.save("confident", confident_patterns(found, scratch, **options))
     if patterns.isEmpty():
         return None
@@ -167,11 +225,11 @@ def _prepared(docs: DataFrame, name: str) -> DataFrame:
     return docs.withColumn(name, F.coalesce(F.col("text").cast("string"), F.lit("")))
 
 
-def find_personal_data(docs: DataFrame, **options) -> DataFrame:
+def find_personal_data(docs: DataFrame, *, window: int = 80, **options) -> DataFrame:
     """doc_id, counts and digest of the base spans, and all spans as text."""
     scratch = Scratch(docs.sparkSession, "pii")
     picked = _prepared(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "text")
-    spans = base_spans(picked.withColumn("h", F.xxhash64("text")), "text").drop("text")
+    spans = base_spans(picked.withColumn("h", F.xxhash64("text")), "text", window=window).drop("text")
     spans = scratch.save("spans", spans)
     told = _with_more(spans, discover(spans, scratch, **options))
     base = F.array_join(F.concat(*[_told(F.col(f"pii_{k}"), k) for k in KINDS]), ",")
@@ -179,12 +237,12 @@ def find_personal_data(docs: DataFrame, **options) -> DataFrame:
     return told.select("doc_id", *[F.size(f"pii_{k}").cast("long").alias(f"n_{k}") for k in KINDS], F.sha2(base, 256).alias("base_sha256"), every.alias("spans"))
 
 
-def redact(docs: DataFrame, **options) -> DataFrame:
+def redact(docs: DataFrame, *, window: int = 80, **options) -> DataFrame:
     """The documents, own columns only, with every span replaced by its kind in brackets; overlapping spans become one."""
     scratch = Scratch(docs.sparkSession, "pii")
     columns = docs.columns
     wide = _prepared(docs.withColumn("pii_text", F.col("text")), "pii_text").withColumn("h", F.xxhash64("pii_text"))
-    spans = base_spans(wide, "pii_text")
+    spans = base_spans(wide, "pii_text", window=window)
     arrays = [f"pii_{k}" for k in (*KINDS, "token")]
     kept = scratch.save("spans", spans.select("doc_id", "h", *arrays).where(" or ".join(f"size({a}) > 0" for a in arrays)))
     every = _with_more(spans, discover(kept, scratch, **options))

@@ -371,6 +371,19 @@ def test_bootstrapping_finds_unseen_identifiers(spark):
     assert {x.doc_id: x.text for x in redact(docs(spark, texts)).collect()}[30] == "so please contact [EMAIL] or"
 
 
+def test_bootstrapping_takes_spaced_identifiers_whole(spark):
+    from siltwork.llm.pii import find_personal_data, redact
+
+    texts = [f"{prose(5, i)}. please dial now +1 (743) 555-38{i:02} today" for i in range(30)] + ["so please dial now (743) 555 3824 x9 or", "please contact me2 at\n5551 7 but 4x 5y\nplease dial now 12 a@b.cd 34 56"]
+    rows = {x.doc_id: x for x in find_personal_data(docs(spark, texts)).collect()}
+    a, b = texts[30].index("(743)"), texts[30].index(" or")
+    assert rows[30].spans == f"phone:{a}:{b}" and rows[30].n_phone == 0
+    a, b = texts[31].index("12 a@"), texts[31].index("a@")
+    assert rows[31].spans == f"email:{b}:{b + 6},phone:{a}:{a + 2}"
+    out = {x.doc_id: x.text for x in redact(docs(spark, texts)).collect()}
+    assert out[30] == "so please dial now [PHONE] or" and out[31].endswith("4x 5y\nplease dial now [PHONE] [EMAIL] 34 56")
+
+
 def test_pipeline_stages_act(spark, tmp_path):
     import corpus_pipeline
 
