@@ -11,16 +11,21 @@ the count never exceeds the number of shingles that differ, and the sketch drops
    members, whatever the bucket's size.  Sketches and set sizes drop most false ones; the others
    are confirmed on their full sets, and connected.
 3. Buckets that still hold several components are open.  Their members outside the bucket's main
-   component are compared, by sketch, with all members of other components, in chunks of bounded
-   size; what passes is confirmed as before.  So every pair that shares a bucket is either
-   connected or compared, and no bucket is capped.
+   component visit all chunks of the bucket's members, and each pair of different components that
+   passes by sketch is confirmed there on its full sets, in the first band that it shares.  A task
+   joins what it links at once and sends out only links between different components: a forest, no
+   more rows than members.  So every pair that shares a bucket is either connected or compared, and
+   no bucket is capped.
 
 With 24 bands of 5 rows a pair of similarity 0.85 shares no bucket with probability below 1e-6.
+Where a set has more than 1024 shingles, its sketch is of a sample: the bound then lies five
+deviations out, and drops a link of similarity 0.85 with a probability of the same order.
 
 Defined cases: null and empty texts, and those of white space only, have the empty set and link with
 nothing; fewer words than a shingle are one shingle; a null doc_id keeps its row and links with
-nothing; rows that repeat a doc_id share a component where any of them links; an empty table gives
-no rows; other columns are ignored.
+nothing; rows that repeat a doc_id share a component where any of them links, and each class of equal
+sets is compared once however many rows have it; an empty table gives no rows; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -105,6 +110,10 @@ def word_hashes(cache: RunCache, texts: list[str]) -> list[np.ndarray]:
     return [np.frombuffer(raw, ">u8").astype(np.uint64) for raw in cache.join(runs)]
 
 
+def _digest(found: np.ndarray) -> np.ndarray:
+    return np.frombuffer(xxhash.xxh3_128_digest(found.tobytes()), np.int64)
+
+
 def signatures(docs: DataFrame, size: int) -> DataFrame:
     """doc_id, n_shingles, set hash, bands and sketch (both empty for the empty set)."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("hi", pa.int64()), ("lo", pa.int64()), ("bands", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64()))])
@@ -117,7 +126,7 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
                 n, hi, lo, keys, bits = [], [], [], [], []
                 for words in word_hashes(cache, texts[part]):
                     found = shingles(words, size)
-                    digest = np.frombuffer(xxhash.xxh3_128_digest(found.tobytes()), np.int64)
+                    digest = _digest(found)
                     n.append(len(found))
                     hi.append(digest[0])
                     lo.append(digest[1])
@@ -128,93 +137,141 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n_shingles long, hi long, lo long, bands array<long>, sketch array<long>")
 
 
-def _confirm(pairs: DataFrame, docs: DataFrame, scratch: Scratch, name: str, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
+def full_sets(docs: DataFrame, size: int) -> DataFrame:
+    """(hi, lo, shingles): each distinct set once, its sorted hashes as bytes."""
+    schema = pa.schema([("hi", pa.int64()), ("lo", pa.int64()), ("shingles", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache = RunCache(hash_code)
+        for batch in batches:
+            texts = batch.column(0).to_pylist()
+            for part in parts(map(len, texts), 1_000_000):
+                sets = [shingles(words, size) for words in word_hashes(cache, texts[part])]
+                digests = [_digest(s) for s in sets]
+                yield record(schema, {"hi": [d[0] for d in digests], "lo": [d[1] for d in digests], "shingles": [s.tobytes() for s in sets]})
+
+    found = docs.select("text").mapInArrow(run, "hi long, lo long, shingles binary")
+    return found.groupBy("hi", "lo").agg(F.first("shingles").alias("shingles"))
+
+
+class _Labels:
+    """Union-find over component labels, as one task has seen them."""
+
+    def __init__(self):
+        self.up: dict[int, int] = {}
+
+    def find(self, x: int) -> int:
+        root = x
+        while root in self.up:
+            root = self.up[root]
+        while x != root:
+            self.up[x], x = root, self.up[x]
+        return root
+
+    def join(self, x: int, y: int) -> None:
+        self.up[x] = y
+
+
+class _Chunk:
+    """The homes of one chunk: an inverted index of their full sets, against which visitors come one by one."""
+
+    def __init__(self, labels: _Labels, percent: int):
+        self.labels, self.percent, self.homes, self.ready = labels, percent, [], False
+
+    def add(self, row: tuple) -> None:
+        self.homes.append(row)
+
+    def _prepare(self) -> None:
+        rep, label, n, sketch, bands, sets = zip(*self.homes)
+        self.rep, self.n, self.sketch, self.bands = np.asarray(rep), np.asarray(n), np.stack(sketch), np.stack(bands)
+        self.label = np.asarray([self.labels.find(x) for x in label])
+        every, owner = np.concatenate(sets), np.repeat(np.arange(len(rep)), [len(s) for s in sets])
+        order = np.argsort(every, kind="stable")
+        self.owner = owner[order]
+        self.known, self.starts = np.unique(every[order], return_index=True)
+        self.ends = np.append(self.starts[1:], len(every))
+        self.homes, self.ready = [], True
+
+    def _shared(self, found: np.ndarray) -> np.ndarray:
+        """How many shingles each home shares with a visitor's set."""
+        at = np.searchsorted(self.known, found)
+        at[at == len(self.known)] = 0
+        at = at[self.known[at] == found]
+        low, times = self.starts[at], self.ends[at] - self.starts[at]
+        places = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + np.repeat(low, times)
+        return np.bincount(self.owner[places], minlength=len(self.rep))
+
+    def visit(self, row: tuple, band: int) -> list[tuple[int, int]]:
+        """Links that join the visitor's component to others; ``band`` is the bucket's own, -1 where pairs come but once."""
+        if not self.ready:
+            if not self.homes:
+                return []
+            self._prepare()
+        rep, label, n, sketch, bands, found = row
+        label = self.labels.find(label)
+        at = np.flatnonzero((self.label != label) & (100 * np.minimum(n, self.n) >= self.percent * np.maximum(n, self.n)))
+        if len(at):
+            at = at[np.bitwise_count(self.sketch[at] ^ sketch).sum(1) <= most_differing(np.full(len(at), n), self.n[at], self.percent)]
+        if len(at) and band > 0:
+            at = at[~(self.bands[at, :band] == bands[:band]).any(1)]
+        if not len(at):
+            return []
+        both = self._shared(found)[at]
+        at = at[100 * both >= self.percent * (n + self.n[at] - both)]
+        out = []
+        for k in at.tolist():
+            if self.label[k] != label:
+                out.append((rep, int(self.rep[k])))
+                old = int(self.label[k])
+                self.labels.join(old, label)
+                self.label[self.label == old] = label
+        return out
+
+
+_MEMBER = "rep long, label long, n long, sketch array<long>, bands array<long>, shingles binary"
+
+
+def _linked(dealt: DataFrame, percent: int) -> DataFrame:
+    """(u, v) links between homes and visitors of each (g, chunk) of different components; a forest per task."""
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, last, last_text, last_set = RunCache(hash_code), None, None, None
+        now, chunk, labels = None, None, _Labels()
         for batch in batches:
-            u, v = [], []
-            for a, b, text_a, text_b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
-                text_a = text_a.as_py()
-                if a != last or text_a != last_text:
-                    last, last_text, last_set = a, text_a, shingles(word_hashes(cache, [text_a])[0], size)
-                other = shingles(word_hashes(cache, [text_b.as_py()])[0], size)
-                small, large = (last_set, other) if len(last_set) <= len(other) else (other, last_set)
-                if not len(small) or 100 * len(small) < percent * len(large):
-                    continue
-                at = np.searchsorted(large, small)
-                at[at == len(large)] = 0
-                both = int((large[at] == small).sum())
-                if 100 * both >= percent * (len(small) + len(large) - both):
-                    u.append(a)
-                    v.append(b)
-            yield record(schema, {"u": u, "v": v})
-
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = scratch.save(f"{name}-texts", docs.join(wanted, "doc_id", "left_semi"))
-    joined = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    joined = joined.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    links = scratch.save(f"{name}-links", joined.select("a", "b", "text_a", "text_b").mapInArrow(run, "u long, v long").distinct())
-    scratch.drop(f"{name}-texts")
-    return links
+            if not batch.num_rows:
+                continue
+            g, number, role, band, rep, label, n = (batch.column(i).to_pylist() for i in range(7))
+            sketch = batch.column(7).flatten().to_numpy().reshape(-1, BITS // 64).view(np.uint64)
+            keys = batch.column(8).flatten().to_numpy().reshape(-1, BANDS)
+            links = []
+            for k in range(batch.num_rows):
+                if (g[k], number[k]) != now:
+                    if len(labels.up) > 1_000_000:
+                        labels = _Labels()
+                    now, chunk = (g[k], number[k]), _Chunk(labels, percent)
+                row = rep[k], label[k], n[k], sketch[k], keys[k], np.frombuffer(batch.column(9)[k].as_buffer(), np.uint64)
+                if role[k] == 0:
+                    chunk.add(row)
+                else:
+                    links += chunk.visit(row, band[k])
+            if links:
+                u, v = zip(*links)
+                yield record(schema, {"u": u, "v": v})
+
+    rows = dealt.select("g", "chunk", "role", "band", "rep", "label", "n", "sketch", "bands", "shingles")
+    return rows.repartition("g", "chunk").sortWithinPartitions("g", "chunk", "role").mapInArrow(run, "u long, v long")
 
 
 def _differing(left: str, right: str):
     return sum(F.bit_count(F.col(left)[i].bitwiseXOR(F.col(right)[i])) for i in range(BITS // 64))
 
 
-def _open_pairs(rows: DataFrame, scratch: Scratch, percent: int, chunk_rows: int) -> DataFrame:
-    """Pairs of different components that pass by sketch, from rows (bucket, rep, label, n, sketch) of open buckets."""
-    by_label = rows.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("c"))
-    main = by_label.groupBy("bucket").agg(F.sum("c").alias("m"), F.max(F.struct("c", "label"))["label"].alias("main"))
-    main = scratch.save("main", main.select("bucket", "main", F.ceil(F.col("m") / chunk_rows).cast("int").alias("chunks")))
-    known = rows.join(main, "bucket")
-    own = F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int")
-    columns = "rep", "label", "n", "sketch"
-    homes = known.select("bucket", own.alias("chunk"), F.lit(0).alias("role"), *columns)
-    visitors = known.where("label <> main").select("bucket", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(1).alias("role"), *columns)
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+def _chunks(chunk_rows: int, chunk_shingles: int):
+    """Number of chunks of a group with columns m (members) and t (their shingles)."""
+    return F.greatest(F.ceil(F.col("m") / chunk_rows), F.ceil(F.col("t") / chunk_shingles), F.lit(1)).cast("int")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, homes, ready = None, [], None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            bucket, chunk, role = (batch.column(i).to_numpy() for i in range(3))
-            rep, label, n = (batch.column(i).to_numpy() for i in range(3, 6))
-            sketch = batch.column(6).flatten().to_numpy().reshape(-1, BITS // 64).view(np.uint64)
-            cuts = np.flatnonzero((bucket[1:] != bucket[:-1]) | (chunk[1:] != chunk[:-1]) | (role[1:] != role[:-1])) + 1
-            out_a, out_b = [], []
-            for s, e in zip([0, *cuts.tolist()], [*cuts.tolist(), len(bucket)]):
-                if (bucket[s], chunk[s]) != now:
-                    now, homes, ready = (bucket[s], chunk[s]), [], None
-                if role[s] == 0:
-                    homes.append((rep[s:e], label[s:e], n[s:e], sketch[s:e]))
-                    continue
-                if not homes:
-                    continue
-                ready = ready or [np.concatenate(x) for x in zip(*homes)]
-                h_rep, h_label, h_n, h_sketch = ready
-                for k in range(s, e, 256):
-                    t = slice(k, min(e, k + 256))
-                    ok = label[t, None] != h_label
-                    ok &= 100 * np.minimum(n[t, None], h_n) >= percent * np.maximum(n[t, None], h_n)
-                    i, j = np.nonzero(ok)
-                    for q in range(0, len(i), 131_072):
-                        iq, jq = i[q : q + 131_072], j[q : q + 131_072]
-                        pick = np.bitwise_count(sketch[t][iq] ^ h_sketch[jq]).sum(1) <= most_differing(n[t][iq], h_n[jq], percent)
-                        out_a.append(np.minimum(rep[t][iq[pick]], h_rep[jq[pick]]))
-                        out_b.append(np.maximum(rep[t][iq[pick]], h_rep[jq[pick]]))
-            if out_a:
-                yield record(schema, {"a": np.concatenate(out_a), "b": np.concatenate(out_b)})
-
-    dealt = homes.unionByName(visitors).repartition("bucket", "chunk").sortWithinPartitions("bucket", "chunk", "role")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
-
-
-def near_duplicates(documents: DataFrame, *, shingle: int = 5, percent: int = 85, chunk_rows: int = 2048) -> DataFrame:
+
+def near_duplicates(documents: DataFrame, *, shingle: int = 5, percent: int = 85, chunk_rows: int = 2048, chunk_shingles: int = 4_000_000) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row."""
     scratch = Scratch(documents.sparkSession, "near")
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty("text").alias("text"))
@@ -223,32 +280,57 @@ def near_duplicates(documents: DataFrame, *, shingle: int = 5, percent: int = 85
     picked = signed.where(usable)
     classes = picked.groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     classes = scratch.save("classes", classes)
-    rows = classes.select(F.explode("bands").alias("bucket"), "rep")
-    first = F.min(F.struct(F.xxhash64("rep").alias("o"), F.col("rep")))["rep"]
-    leaders = scratch.save("leaders", rows.groupBy("bucket").agg(first.alias("a"), F.count(F.lit(1)).alias("m")).where("m > 1"))
-    stars = rows.join(leaders, "bucket").where("rep <> a").select("a", F.col("rep").alias("b")).distinct()
-
-    side = lambda x: classes.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"))
-    close = (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (_differing("s_a", "s_b") <= most_differing(F.col("n_a"), F.col("n_b"), percent, _Columns))
-    candidates = scratch.save("stars", stars.join(side("b"), "b").join(side("a"), "a").where(close).select("a", "b").distinct())
-    links = _confirm(candidates, docs, scratch, "stars", shingle, percent)
+    own_chunk = F.pmod(F.xxhash64("hi", "lo"), F.col("chunks")).cast("int").alias("chunk")
+
+    def with_sets(name: str, wanted: DataFrame) -> DataFrame:
+        """The wanted classes (hi, lo) with their columns and full sets; texts of one row each are read again."""
+        wanted = scratch.save(f"{name}-wanted", classes.join(wanted, ["hi", "lo"], "left_semi"))
+        texts = docs.join(wanted.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+        return scratch.save(f"{name}-sets", wanted.join(full_sets(texts, shingle), ["hi", "lo"]))
+
+    rows = classes.select(F.posexplode("bands").alias("band", "bucket"), "hi", "lo", "rep", "n")
+    order = F.struct(F.xxhash64("hi", "lo").alias("o"), "hi", "lo")
+    leaders = rows.groupBy("bucket").agg(F.min(order).alias("x"), F.count(F.lit(1)).alias("m")).where("m > 1")
+    leaders = scratch.save("leaders", leaders.select("bucket", "m", F.col("x.hi").alias("a_hi"), F.col("x.lo").alias("a_lo")))
+    stars = rows.join(leaders, "bucket").where("hi <> a_hi or lo <> a_lo").select("a_hi", "a_lo", "hi", "lo").distinct()
+    side = lambda x: classes.select(F.col("hi").alias(f"{x}hi"), F.col("lo").alias(f"{x}lo"), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"))
+    close = (100 * F.least("n_a_", "n_") >= percent * F.greatest("n_a_", "n_")) & (_differing("s_a_", "s_") <= most_differing(F.col("n_a_"), F.col("n_"), percent, _Columns))
+    stars = stars.join(side(""), ["hi", "lo"]).join(side("a_"), ["a_hi", "a_lo"]).where(close)
+    stars = scratch.save("stars", stars.select("a_hi", "a_lo", "hi", "lo", F.col("n_").alias("n")))
+
+    sizes = stars.groupBy("a_hi", "a_lo").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("t"))
+    sizes = scratch.save("star-sizes", sizes.select("a_hi", "a_lo", _chunks(chunk_rows, chunk_shingles).alias("chunks")))
+    leader = F.xxhash64("a_hi", "a_lo").alias("g")
+    homes = sizes.select(leader, F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(0).alias("role"), F.lit(-1).alias("band"), F.col("a_hi").alias("hi"), F.col("a_lo").alias("lo"))
+    visitors = stars.join(sizes, ["a_hi", "a_lo"]).select(leader, own_chunk, F.lit(1).alias("role"), F.lit(-1).alias("band"), "hi", "lo")
+    sets = with_sets("star", stars.select("hi", "lo").union(sizes.select("a_hi", "a_lo")).distinct())
+    # a link of a bucket's star joins two classes whatever their components are, so labels are the classes' own
+    dealt = homes.unionByName(visitors).join(sets, ["hi", "lo"]).withColumn("label", F.xxhash64("hi", "lo"))
+    links = scratch.save("star-links", _linked(dealt, percent).distinct())
+    scratch.drop("star-wanted", "star-sets", "stars", "star-sizes")
     labels = components(links, scratch, name="first")
 
-    label = F.coalesce("component", "rep").alias("label")
-    many = rows.join(leaders.where("m > 2").select("bucket"), "bucket").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", label)
-    many = scratch.save("many", many)
+    known = rows.join(leaders.where("m > 2").select("bucket"), "bucket").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
+    many = scratch.save("many", known.select("bucket", "band", "hi", "lo", "n", F.coalesce("component", "rep").alias("label")))
     unsettled = many.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("bucket")
-    unsettled = scratch.save("unsettled", unsettled)
-    left = many.join(unsettled, "bucket").join(classes.select("rep", "n", "sketch"), "rep").select("bucket", "rep", "label", "n", "sketch")
-    more = _open_pairs(scratch.save("open", left), scratch, percent, chunk_rows)
-    more = scratch.save("more", more.join(candidates.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
-    scratch.drop("many", "open", "main", "unsettled")
-    if not more.isEmpty():
-        links2 = _confirm(more, docs, scratch, "more", shingle, percent)
-        edges = labels.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(links2)
+    open_rows = scratch.save("open", many.join(unsettled, "bucket"))
+    scratch.drop("many")
+    if not open_rows.isEmpty():
+        by_label = open_rows.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("t"))
+        main = by_label.groupBy("bucket").agg(F.sum("c").alias("m"), F.sum("t").alias("t"), F.max(F.struct("c", "label"))["label"].alias("main"))
+        main = scratch.save("main", main.select("bucket", "main", _chunks(chunk_rows, chunk_shingles).alias("chunks")))
+        placed = open_rows.join(main, "bucket").withColumnRenamed("bucket", "g")
+        columns = "band", "hi", "lo", "label"
+        homes = placed.select("g", own_chunk, F.lit(0).alias("role"), *columns)
+        visitors = placed.where("label <> main").select("g", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(1).alias("role"), *columns)
+        sets = with_sets("open", open_rows.select("hi", "lo").distinct())
+        more = scratch.save("more", _linked(homes.unionByName(visitors).join(sets, ["hi", "lo"]), percent).distinct())
+        scratch.drop("open-wanted", "open-sets", "main")
+        edges = labels.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more)
         labels = components(edges, scratch, name="second")
     known = classes.select("hi", "lo", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     known = scratch.save("known", known.select("hi", "lo", F.coalesce("component", "rep").alias("component_id")))
+    scratch.drop("classes", "leaders", "open", "star-links", "more")
     plain = signed.where(~usable).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     out = picked.join(known, ["hi", "lo"]).select("doc_id", "n_shingles", "component_id").unionByName(plain)
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
