@@ -7,25 +7,32 @@ bounds memory and changes no result.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
-from itertools import chain
 
 import numpy as np
 import xxhash
 
 
+class Learning(dict):
+    """A dict that asks ``code`` for what it lacks."""
+
+    def __init__(self, code: Callable):
+        self._code = code
+
+    def __missing__(self, key):
+        found = self[key] = self._code(key)
+        return found
+
+
 class RunCache:
     """Joined codes of each text's runs; ``code`` maps one run (str or bytes) to bytes."""
 
     def __init__(self, code: Callable, limit: int = 150_000):
-        self._code, self._limit, self._known = code, limit, {}
+        self._limit, self._known = limit, Learning(code)
 
     def join(self, runs_of_texts: list[list]) -> list[bytes]:
-        known, code = self._known, self._code
-        if len(known) > self._limit:
-            known.clear()
-        for run in set(chain.from_iterable(runs_of_texts)).difference(known):
-            known[run] = code(run)
-        get = known.__getitem__
+        if len(self._known) > self._limit:
+            self._known.clear()
+        get = self._known.__getitem__
         return [b"".join(map(get, runs)) for runs in runs_of_texts]
 
 

@@ -1,23 +1,29 @@
 """Exact, word-cached use of a public word BPE vocabulary.
 
 The vocabulary drops white space and splits on it before anything else, so a text's ids are the
-concatenated ids of its white-space runs.  Each run's ids are cached as little-endian bytes; the
-caches are emptied when they are full, which bounds memory and changes no result.
+concatenated ids of its white-space runs.  Words of Latin letters go straight to the vocabulary's
+merges, past its normaliser and splitter, which would leave them as they are.  Each run's ids are
+cached as little-endian bytes; the caches are emptied when they are full, which bounds memory and
+changes no result.
 """
 
 from __future__ import annotations
 
 import os
 import re
-from itertools import chain
 
 import numpy as np
 
-#: A letters-only word with trailing ASCII punctuation: two pre-tokens whose ids are cached apart.
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:;=?@\[-`{}~]*)")
+from siltwork.llm.chunks import Learning
+
+#: Signs that end a word of letters and are one run of their own for the vocabulary's splitter.
+_TAIL = "!\"#$%&()*+,-./:;=?@[\\]^_`{}~"
+_LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 #: str.split() splits on these, the vocabulary's own splitter does not; special tokens need the whole text.
-_RARE = re.compile("[\x1c-\x1f]|<\\|")
-_WORD_END = "</w>"
+_RARE = "\x1c", "\x1d", "\x1e", "\x1f", "<|"
+#: The vocabulary spells bytes as signs: a visible Latin-1 sign for its own byte, the other bytes from 256 on, in order.
+_VISIBLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_SPELT = {b: chr(b) for b in _VISIBLE} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in set(_VISIBLE))}
 _PER_PROCESS: dict[str, "WordTokenizer"] = {}
 
 
@@ -29,66 +35,37 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        vocabulary = self._tokenizer.get_vocab(with_added_tokens=True)
-        self._ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        self._ends[[i for token, i in vocabulary.items() if token.endswith(_WORD_END)]] = True
+        self._merge = self._tokenizer.model.tokenize
         self._limit = cache_words
-        self._words: dict[str, bytes] = {}
-        self._cores: dict[str, bytes] = {}
+        self._words, self._cores, self._tails = Learning(self._word), Learning(self._core), Learning(self._encode)
 
     def _encode(self, text: str) -> bytes:
         return np.asarray(self._tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn_cores(self, cores: list[str]) -> None:
-        """Ids of letters-only words, encoded together and split where a word-end token stands."""
-        for k in range(0, len(cores), 4096):
-            part = cores[k : k + 4096]
-            ids = np.asarray(self._tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
-            ends = np.flatnonzero(self._ends[ids]) + 1
-            if len(ends) != len(part):
-                self._cores.update((core, self._encode(core)) for core in part)
-                continue
-            raw, at = ids.tobytes(), 0
-            for core, end in zip(part, (ends * 4).tolist()):
-                self._cores[core] = raw[at:end]
-                at = end
-
-    def _learn(self, words: set[str]) -> None:
-        plain, new = [], {}
-        for word in words:
-            found = _PLAIN.fullmatch(word)
-            if found is None:
-                self._words[word] = self._encode(word)
-                continue
-            core, tail = found[1].lower(), found[2]
-            if core not in self._cores:
-                new[core] = None
-            if tail and tail not in self._cores:
-                self._cores[tail] = self._encode(tail)
-            plain.append((word, core, tail))
-        self._learn_cores(list(new))
-        cores = self._cores
-        for word, core, tail in plain:
-            self._words[word] = cores[core] + cores[tail] if tail else cores[core]
+    def _core(self, core: str) -> bytes:
+        spelt = core if core.isascii() else "".join([_SPELT[b] for b in core.encode()])
+        return b"".join([t.id.to_bytes(4, "little") for t in self._merge(spelt)])
+
+    def _word(self, word: str) -> bytes:
+        core = word.rstrip(_TAIL)
+        if not core.isalpha() or not (core.isascii() or _LATIN.fullmatch(core)):
+            return self._encode(word)
+        ids = self._cores[core.lower()]
+        return ids + self._tails[word[len(core) :]] if len(core) < len(word) else ids
 
     def raw(self, texts: list[str]) -> list[bytes]:
-        if len(self._words) > self._limit:
-            self._words.clear()
-        if len(self._cores) > self._limit:
-            self._cores.clear()
-        split = [None if _RARE.search(text) else text.split() for text in texts]
-        missing = set(chain.from_iterable(s for s in split if s)).difference(self._words)
-        if missing:
-            self._learn(missing)
+        if max(len(self._words), len(self._cores), len(self._tails)) > self._limit:
+            self.forget()
         get = self._words.__getitem__
-        return [self._encode(text) if s is None else b"".join(map(get, s)) for text, s in zip(texts, split)]
+        return [self._encode(text) if any(x in text for x in _RARE) else b"".join(map(get, text.split())) for text in texts]
 
     def ids(self, text: str) -> np.ndarray:
         return np.frombuffer(self.raw([text])[0], "<u4")
 
     def forget(self) -> None:
         """Empty the caches: a worker that waits for other tasks should hold the vocabulary only."""
-        self._words, self._cores = {}, {}
+        for cache in (self._words, self._cores, self._tails):
+            cache.clear()
 
     @classmethod
     def of_process(cls, path: str) -> "WordTokenizer":
