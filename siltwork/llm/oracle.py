@@ -7,15 +7,19 @@ _LOWER = "translate(coalesce(text,''),'ABCDEFGHIJKLMNOPQRSTUVWXYZ','abcdefghijkl
 _OP3 = rf"""
 with d as (select doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w from documents),
 b as (select item_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w from benchmark),
-bw as (select item_id, unnest(list_transform(range(1, greatest(len(w)-7,1)::bigint+1), lambda i: array_to_string(w[i:i+7],' '))) k, least(len(w),8) n from b where len(w)>0),
+bi as (select item_id, w, unnest(range(1, greatest(len(w)-7,1)::bigint+1)) j, least(len(w),8) n from b where len(w)>0),
+bw as (select item_id, j, n, array_to_string(w[j:j+7],' ') k from bi),
 sizes as (select distinct n from bw),
 dw as (select doc_id, n, unnest(range(1, len(w)-n+2)) i, w from d, sizes where len(w)>=n),
 dk as (select doc_id, n, i, array_to_string(w[i:i+n-1],' ') k from dw),
-m as (select dk.doc_id, dk.i, dk.n, bw.item_id from dk join bw on bw.k=dk.k and bw.n=dk.n),
+m as (select dk.doc_id, dk.i, dk.n, bw.item_id, bw.j from dk join bw on bw.k=dk.k and bw.n=dk.n),
 hit as (select doc_id, count(distinct p) n_hit from (select doc_id, unnest(range(i, i+n)) p from (select distinct doc_id, i, n from m)) group by doc_id),
-it as (select doc_id, count(*) n_items, string_agg(s, ',' order by s) l from (select distinct doc_id, item_id::varchar s from m) group by doc_id)
-select d.doc_id, len(w)::bigint n_words, coalesce(n_hit,0)::bigint n_hit, coalesce(n_items,0)::bigint n_items, sha256(coalesce(l,'')) items_sha256, coalesce(n_items,0)>=2 contaminated
-from d left join hit using (doc_id) left join it using (doc_id)
+it as (select doc_id, count(*) n_items, string_agg(s, ',' order by s) l from (select distinct doc_id, item_id::varchar s from m) group by doc_id),
+run as (select doc_id, n, i, i - row_number() over (partition by doc_id, item_id, n, i-j order by i) g, item_id, i-j o from (select distinct * from m)),
+isl as (select doc_id, min(i) s, count(*)+n-1 c from run group by doc_id, item_id, n, o, g),
+lon as (select doc_id, max(c) c, arg_min(s, (-c, s)) s from isl group by doc_id)
+select d.doc_id, len(w)::bigint n_words, coalesce(n_hit,0)::bigint n_hit, coalesce(n_items,0)::bigint n_items, sha256(coalesce(l,'')) items_sha256, coalesce(n_items,0)>=2 contaminated, coalesce(lon.c,0)::bigint longest_words, (lon.s-1)::bigint longest_start
+from d left join hit using (doc_id) left join it using (doc_id) left join lon using (doc_id)
 """
 
 _OP5 = """
