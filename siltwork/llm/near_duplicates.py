@@ -282,16 +282,16 @@ def near_duplicates(documents: DataFrame, *, shingle: int = 5, percent: int = 85
     classes = scratch.save("classes", classes)
     own_chunk = F.pmod(F.xxhash64("hi", "lo"), F.col("chunks")).cast("int").alias("chunk")
 
-    def with_sets(name: str, wanted: DataFrame) -> DataFrame:
-        """The wanted classes (hi, lo) with their columns and full sets; texts of one row each are read again."""
-        wanted = scratch.save(f"{name}-wanted", classes.join(wanted, ["hi", "lo"], "left_semi"))
-        texts = docs.join(wanted.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
-        return scratch.save(f"{name}-sets", wanted.join(full_sets(texts, shingle), ["hi", "lo"]))
-
     rows = classes.select(F.posexplode("bands").alias("band", "bucket"), "hi", "lo", "rep", "n")
     order = F.struct(F.xxhash64("hi", "lo").alias("o"), "hi", "lo")
     leaders = rows.groupBy("bucket").agg(F.min(order).alias("x"), F.count(F.lit(1)).alias("m")).where("m > 1")
     leaders = scratch.save("leaders", leaders.select("bucket", "m", F.col("x.hi").alias("a_hi"), F.col("x.lo").alias("a_lo")))
+    # full sets of the classes that share a bucket, from one row's text each; by merge join at every size, as they may be any share of all
+    wanted = classes.join(rows.join(leaders.select("bucket"), "bucket").select("hi", "lo").distinct(), ["hi", "lo"], "left_semi")
+    wanted = scratch.save("wanted", wanted)
+    texts = docs.join(wanted.select(F.col("rep").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi")
+    sets = scratch.save("sets", full_sets(texts, shingle).join(wanted.hint("merge"), ["hi", "lo"]))
+    scratch.drop("wanted")
     stars = rows.join(leaders, "bucket").where("hi <> a_hi or lo <> a_lo").select("a_hi", "a_lo", "hi", "lo").distinct()
     side = lambda x: classes.select(F.col("hi").alias(f"{x}hi"), F.col("lo").alias(f"{x}lo"), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"))
     close = (100 * F.least("n_a_", "n_") >= percent * F.greatest("n_a_", "n_")) & (_differing("s_a_", "s_") <= most_differing(F.col("n_a_"), F.col("n_"), percent, _Columns))
@@ -303,11 +303,10 @@ def near_duplicates(documents: DataFrame, *, shingle: int = 5, percent: int = 85
     leader = F.xxhash64("a_hi", "a_lo").alias("g")
     homes = sizes.select(leader, F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(0).alias("role"), F.lit(-1).alias("band"), F.col("a_hi").alias("hi"), F.col("a_lo").alias("lo"))
     visitors = stars.join(sizes, ["a_hi", "a_lo"]).select(leader, own_chunk, F.lit(1).alias("role"), F.lit(-1).alias("band"), "hi", "lo")
-    sets = with_sets("star", stars.select("hi", "lo").union(sizes.select("a_hi", "a_lo")).distinct())
     # a link of a bucket's star joins two classes whatever their components are, so labels are the classes' own
-    dealt = homes.unionByName(visitors).join(sets, ["hi", "lo"]).withColumn("label", F.xxhash64("hi", "lo"))
+    dealt = sets.join(homes.unionByName(visitors).hint("merge"), ["hi", "lo"]).withColumn("label", F.xxhash64("hi", "lo"))
     links = scratch.save("star-links", _linked(dealt, percent).distinct())
-    scratch.drop("star-wanted", "star-sets", "stars", "star-sizes")
+    scratch.drop("stars", "star-sizes")
     labels = components(links, scratch, name="first")
 
     known = rows.join(leaders.where("m > 2").select("bucket"), "bucket").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
@@ -323,14 +322,14 @@ def near_duplicates(documents: DataFrame, *, shingle: int = 5, percent: int = 85
         columns = "band", "hi", "lo", "label"
         homes = placed.select("g", own_chunk, F.lit(0).alias("role"), *columns)
         visitors = placed.where("label <> main").select("g", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(1).alias("role"), *columns)
-        sets = with_sets("open", open_rows.select("hi", "lo").distinct())
-        more = scratch.save("more", _linked(homes.unionByName(visitors).join(sets, ["hi", "lo"]), percent).distinct())
-        scratch.drop("open-wanted", "open-sets", "main")
+        dealt = sets.join(homes.unionByName(visitors).hint("merge"), ["hi", "lo"])
+        more = scratch.save("more", _linked(dealt, percent).distinct())
+        scratch.drop("main")
         edges = labels.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more)
         labels = components(edges, scratch, name="second")
     known = classes.select("hi", "lo", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     known = scratch.save("known", known.select("hi", "lo", F.coalesce("component", "rep").alias("component_id")))
-    scratch.drop("classes", "leaders", "open", "star-links", "more")
+    scratch.drop("classes", "leaders", "open", "star-links", "more", "sets")
     plain = signed.where(~usable).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     out = picked.join(known, ["hi", "lo"]).select("doc_id", "n_shingles", "component_id").unionByName(plain)
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
