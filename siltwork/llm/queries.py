@@ -63,14 +63,14 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents have no paths: source, language and id stand for them."""
+    """Documents are files of their source's directory; none is a licence file, so none speaks for others."""
     from pyspark.sql import functions as F
 
     from siltwork.llm.licenses import licences
 
-    path = F.concat_ws("/", "source", "lang", F.format_string("%012d.txt", F.col("doc_id").cast("long")))
+    path = F.concat_ws("/", "source", F.format_string("%d.txt", F.col("doc_id").cast("long")))
     files = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), path.alias("path"), "text")
-    return licences(files, by="first").withColumnRenamed("id", "doc_id")
+    return licences(files).withColumnRenamed("id", "doc_id")
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
