@@ -12,17 +12,22 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _LOCAL: dict[str, str] = {}
+_CLEARED: set[str] = set()
 
 
 def shared_folder(spark: SparkSession) -> str:
     """Folder that the driver and all executors see: ``spark.checkpoint.dir`` as the session names it.
 
-    Only where that setting is unset (tests, local mode) a temporary folder is made and removed at exit.
+    Where that is unset, the context's checkpoint folder; in local mode only (tests) a temporary
+    folder, removed at exit.  On a cluster without either this raises.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    configured = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if configured:
         return configured.rstrip("/")
-    app = spark.sparkContext.applicationId
+    if not context.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    app = context.applicationId
     if app not in _LOCAL:
         folder = tempfile.mkdtemp(prefix="siltwork-")
         atexit.register(shutil.rmtree, folder, ignore_errors=True)
@@ -30,8 +35,20 @@ def shared_folder(spark: SparkSession) -> str:
     return f"file://{_LOCAL[app]}"
 
 
+def _clear(spark: SparkSession, folder: str) -> None:
+    """At exit: the tables that returned DataFrames read are of no more use; a JVM that is gone left them to the folder's owner."""
+    try:
+        remove_path(spark, folder)
+    except Exception:
+        pass
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_folder(spark)}/siltwork-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/siltwork-{spark.sparkContext.applicationId}"
+    if folder not in _CLEARED:
+        _CLEARED.add(folder)
+        atexit.register(_clear, spark, folder)
+    return f"{folder}/{label}-{uuid.uuid4().hex}"
 
 
 def remove_path(spark: SparkSession, path: str) -> None:

@@ -4,18 +4,19 @@ Base spans are leftmost, non-overlapping matches per kind (email, ip, card, phon
 pass their test.  Offsets come from pairing a text's matches with the pieces between them; counts
 are code points.  The expressions are written so that Java's matcher neither recurses nor rescans:
 possessive quantifiers where the next sign can't belong to the run, and look-behinds that start a
-match at the beginning of its run or at the end of the match before.
+match at the beginning of its run or at the end of the match before.  Sums and maxima along a text
+are scans by doubling, so n matches cost n log n steps.
 
 Bootstrapping: whole base spans, and maximal runs of other tokens with a digit or an at sign that
 only blanks part, are instances; the two words of the text before them are patterns.  The base spans
-are seeds.  On the bipartite graph of patterns and instances
-a pattern's confidence is the mean score of its instances and an unseen instance's score the mean
-confidence of its patterns, in turns; patterns that end confident, and that enough different seeds
-support, add the unseen runs that follow them as spans of their kind.
+are seeds.  On the bipartite graph of patterns and instances a pattern's confidence is the mean score
+of its instances and an unseen instance's score the mean confidence of its patterns, in turns, until
+the set of confident patterns stays or ``rounds`` turns are done; patterns that end confident, and
+that enough different seeds support, add the unseen runs that follow them as spans of their kind.
 
 Defined cases: null text is empty and has no spans; texts of any length are read whole; repeated
 rows have the same spans, and count once as evidence; a null doc_id keeps its row; an empty table
-gives no rows; other columns are ignored, or kept by ``redact``.
+gives no rows; other columns, whatever their names, are ignored, or kept by ``redact``.
 """
 
 from __future__ import annotations
@@ -67,134 +68,168 @@ def _passes(kind: str, match: Column) -> Column:
     return F.length(digits).between(9, 15)
 
 
-def _test(kind: str):
-    return lambda x: _passes(kind, x["match"])
+def _bound(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, as a lambda's argument."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def _tag(kind: str):
-    return lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.lit(kind).alias("kind"))
+def _scan(values: Column, join) -> Column:
+    """Running ``join`` of an array from the left, each place included, by doubling."""
 
+    def whole(v: Column) -> Column:
+        steps = F.filter(F.array(*[F.lit(1 << k) for k in range(31)]), lambda p: p < F.size(v))
+        return F.aggregate(steps, v, lambda acc, p: F.transform(acc, lambda x, i: F.when(i >= p, join(F.get(acc, i - p), x)).otherwise(x)))
 
-def _spans(text: Column, matches: Column, pattern: str) -> Column:
+    return _bound(values, whole)
+
+
+_EMPTY = "array<struct<s: int, e: int, match: string, before: string>>"
+
+
+def _spans(text: Column, pattern: str) -> Column:
     """Array of (s, e, match, before): offsets of each match, and the piece of text before it."""
-    pieces = F.split(text, pattern, -1)
-    total = lambda parts: F.aggregate(parts, F.lit(0), lambda acc, x: acc + F.length(x))
 
-    def one(match: Column, i: Column) -> Column:
-        start = total(F.slice(pieces, 1, i + 1)) + total(F.slice(matches, 1, i))
-        return F.struct(start.alias("s"), (start + F.length(match)).alias("e"), match.alias("match"), F.get(pieces, i).alias("before"))
+    def of(b: Column) -> Column:
+        matches, pieces = b["matches"], b["pieces"]
+        steps = F.transform(matches, lambda m, i: F.length(F.get(pieces, i)) + F.coalesce(F.length(F.get(matches, i - 1)), F.lit(0)))
+        return _bound(_scan(steps, lambda x, y: x + y), lambda at: F.transform(matches, lambda m, i: F.struct(F.get(at, i).alias("s"), (F.get(at, i) + F.length(m)).alias("e"), m.alias("match"), F.get(pieces, i).alias("before"))))
 
-    return F.transform(matches, one)
+    def some(matches: Column) -> Column:
+        return F.when(F.size(matches) > 0, _bound(F.struct(matches.alias("matches"), F.split(text, pattern, -1).alias("pieces")), of)).otherwise(F.array().cast(_EMPTY))
 
+    return F.when(text.rlike(_MAYBE), _bound(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), some)).otherwise(F.array().cast(_EMPTY))
 
-_EMPTY = "array<struct<s: int, e: int, match: string, before: string>>"
 
+def _kept(kind: str, found: Column) -> Column:
+    return F.transform(F.filter(found, lambda x: _passes(kind, x["match"])), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["match"].alias("match")))
 
-def base_spans(docs: DataFrame, text: str, prefix: str = "pii_", window: int = 80) -> DataFrame:
-    """Adds, per kind, the array of its base spans, and the array of instances (s, e, match, near, kind).
 
-    ``near`` is the text before an instance, at most ``window`` long; kind is null where no base span is.
-    """
-    t = F.col(text)
-    names = [*KINDS, "token"]
-    found = docs.select("*", *[F.when(t.rlike(_MAYBE), F.regexp_extract_all(t, F.lit(PATTERNS.get(k, _TOKEN)), F.lit(0))).alias(f"{prefix}m_{k}") for k in names])
-    none = F.array().cast(_EMPTY)
-    out = found.select("*", *[F.when(F.size(f"{prefix}m_{k}") > 0, _spans(t, F.col(f"{prefix}m_{k}"), PATTERNS.get(k, _TOKEN))).otherwise(none).alias(f"{prefix}r_{k}") for k in names])
-    kept = [F.filter(f"{prefix}r_{k}", _test(k)).alias(f"{prefix}{k}") for k in KINDS]
-    own = [F.col(f"`{c}`") for c in docs.columns]
-    out = out.select(*own, *kept, F.col(f"{prefix}r_token"))
-    free = F.filter(f"{prefix}r_token", lambda x: ~_overlaps_any(x, KINDS, prefix))
-    kinds = [F.col(f"{prefix}{k}") for k in KINDS]
-    out = out.select(*own, *kinds, F.col(f"{prefix}r_token"), free.alias(f"{prefix}free"))
-    instances = F.concat(_seeds(t, window, prefix), _runs(t, F.col(f"{prefix}free"), window))
-    return out.select(*own, *kinds, F.when(F.size(f"{prefix}r_token") > 0, instances).otherwise(F.array().cast(_INSTANCES)).alias(f"{prefix}token"))
+_BLANKS = r"^[\x20\t]++$"
+
+
+def _context(near: Column) -> Column:
+    """The two words before an instance, lower-cased, digits as 0; empty where there are fewer."""
+    return F.regexp_replace(F.regexp_replace(F.regexp_extract(F.lower(near), r"(?<!\S)(\S++\s++\S++)\s++$", 1), r"\s+", " "), "[0-9]", "0")
 
 
-_INSTANCES = "array<struct<s: int, e: int, match: string, near: string, kind: string>>"
+def _tokens(found: Column) -> Column:
+    """Tokens with their context, and whether only blanks part them from the token before."""
 
+    def one(x: Column, i: Column, tokens: Column) -> Column:
+        # two words stand before a token in what lies between it and the token before the last
+        text = lambda k, name: F.coalesce(F.get(tokens, k)[name], F.lit(""))
+        near = F.concat(text(i - 2, "match"), text(i - 1, "before"), text(i - 1, "match"), x["before"])
+        return F.struct(x["s"].alias("s"), x["e"].alias("e"), x["match"].alias("match"), ((i > 0) & x["before"].rlike(_BLANKS)).alias("adjacent"), _context(near).alias("context"))
 
-def _overlap(x: Column, y: Column) -> Column:
-    return (x["s"] < y["e"]) & (x["e"] > y["s"])
+    return _bound(found, lambda tokens: F.transform(tokens, lambda x, i: one(x, i, tokens)))
 
 
-def _overlaps_any(x: Column, kinds: tuple, prefix: str) -> Column:
-    out = F.lit(False)
-    for k in kinds:
-        out = out | F.exists(f"{prefix}{k}", lambda y: _overlap(x, y))
-    return out
+_INSTANCES = "array<struct<s: int, e: int, match: string, context: string, kind: string>>"
+_NONE, _LAST = -1, 2**31 - 1
 
 
-def _instance(text: Column, window: int, s: Column, e: Column, match: Column, start: Column, kind: Column) -> Column:
-    near = F.substr(text, F.greatest(F.lit(1), start - window + 1), F.least(start, F.lit(window)))
-    return F.struct(s.alias("s"), e.alias("e"), match.alias("match"), near.alias("near"), kind.cast("string").alias("kind"))
+def _instances(tokens: Column, kinds: dict[str, Column]) -> Column:
+    """Seeds, the base spans that overlap none of an earlier kind, and runs of tokens outside base spans.
 
+    Tokens (order 0, before spans that start with them) and the kinds' spans are sorted together;
+    running maxima of ends and minima of starts, per kind and those before it, tell what overlaps.
+    """
+    n = len(KINDS)
 
-def _seeds(text: Column, window: int, prefix: str) -> Column:
-    """The base spans that overlap none of an earlier kind; their context ends where their first token begins."""
+    def part(found: Column, order: int) -> Column:
+        return F.transform(found, lambda x, i: F.struct(x["s"].alias("s"), F.lit(order).alias("o"), x["e"].alias("e"), i.alias("k")))
 
-    def of(n: int, kind: str) -> Column:
-        def one(x: Column) -> Column:
-            first = F.get(F.filter(f"{prefix}r_token", lambda y: _overlap(x, y)), F.lit(0))
-            return _instance(text, window, x["s"], x["e"], x["match"], first["s"], F.lit(kind))
+    parts = [part(tokens, 0), *[part(kinds[k], o) for o, k in enumerate(KINDS, 1)]]
 
-        return F.transform(F.filter(f"{prefix}{kind}", lambda x: ~_overlaps_any(x, KINDS[:n], prefix)), one)
+    def among(x: Column, upto: int, value: Column, other: int) -> Column:
+        return F.when((x["o"] > 0) & (x["o"] < upto), value).otherwise(F.lit(other))
 
-    return F.concat(*[of(n, k) for n, k in enumerate(KINDS)])
+    def place(every: Column) -> Column:
+        ends = F.transform(every, lambda x: F.struct(*[among(x, u, x["e"], _NONE).alias(f"c{u}") for u in range(2, n + 2)], F.when(x["o"] == 0, x["k"]).otherwise(F.lit(_NONE)).alias("token")))
+        names = [f"c{u}" for u in range(2, n + 2)]
+        before = _scan(ends, lambda x, y: F.struct(*[F.greatest(x[c], y[c]).alias(c) for c in (*names, "token")]))
+        starts = F.transform(F.reverse(every), lambda x: F.struct(*[among(x, u, x["s"], _LAST).alias(f"c{u}") for u in range(2, n + 2)]))
+        after = _scan(starts, lambda x, y: F.struct(*[F.least(x[c], y[c]).alias(c) for c in names]))
 
+        def one(x: Column, i: Column, b: Column) -> Column:
+            def covered(upto: int) -> Column:
+                return (F.get(b["before"], i)[f"c{upto}"] > x["s"]) | (F.get(b["after"], F.size(every) - 1 - i)[f"c{upto}"] < x["e"])
 
-def _runs(text: Column, free: Column, window: int) -> Column:
-    """Maximal runs of tokens outside base spans with nothing but blanks between."""
-    n = F.size(free)
+            clash = F.when(x["o"] == 0, covered(n + 1))
+            for o in range(2, n + 1):
+                clash = clash.when(x["o"] == o, covered(o))
+            return F.struct(*[x[c].alias(c) for c in "soek"], F.get(b["before"], i)["token"].alias("token"), clash.otherwise(F.lit(False)).alias("clash"))
 
-    def apart(i: Column) -> Column:
-        x = F.get(free, i)
-        return (i == 0) | (x["s"] - F.length(x["before"]) != F.get(free, i - 1)["e"]) | ~x["before"].rlike(r"^[\x20\t]++$")
+        return _bound(F.struct(before.alias("before"), after.alias("after")), lambda b: F.filter(F.transform(every, lambda x, i: one(x, i, b)), lambda x: ~x["clash"]))
 
-    def one(x: Column) -> Column:
-        first, end = F.get(free, x["i"]), F.get(free, x["j"] - 1)
-        match = F.array_join(F.transform(F.slice(free, x["i"] + 1, x["j"] - x["i"]), lambda y: y["match"]), " ")
-        return _instance(text, window, first["s"], end["e"], match, first["s"], F.lit(None))
+    def seed(x: Column) -> Column:
+        match, name = F.lit(None).cast("string"), F.lit(None).cast("string")
+        for o, k in enumerate(KINDS, 1):
+            match = F.when(x["o"] == o, F.get(kinds[k], x["k"])["match"]).otherwise(match)
+            name = F.when(x["o"] == o, F.lit(k)).otherwise(name)
+        return F.struct(x["s"].alias("s"), x["e"].alias("e"), match.alias("match"), F.get(tokens, x["token"])["context"].alias("context"), name.alias("kind"))
 
-    indices = F.filter(F.sequence(F.lit(0), n - 1), apart)
-    # the array of starts is bound once, as a lambda's argument
-    pairs = F.flatten(F.transform(F.array(indices), lambda at: F.transform(at, lambda i, k: F.struct(i.alias("i"), F.coalesce(F.get(at, k + 1), n).alias("j")))))
-    return F.when(n > 0, F.transform(pairs, one)).otherwise(F.array().cast(_INSTANCES))
+    def run(free: Column, i: Column, j: Column) -> Column:
+        first = F.get(tokens, F.get(free, i)["k"])
+        match = F.array_join(F.transform(F.slice(free, i + 1, j - i), lambda y: F.get(tokens, y["k"])["match"]), " ")
+        return F.struct(first["s"].alias("s"), F.get(free, j - 1)["e"].alias("e"), match.alias("match"), first["context"].alias("context"), F.lit(None).cast("string").alias("kind"))
 
+    def runs(free: Column) -> Column:
+        starts = F.filter(F.transform(free, lambda x, i: F.when((i > 0) & F.get(tokens, x["k"])["adjacent"] & (F.get(free, i - 1)["k"] == x["k"] - 1), F.lit(_NONE)).otherwise(i)), lambda i: i >= 0)
+        return _bound(starts, lambda at: F.transform(at, lambda i, k: run(free, i, F.coalesce(F.get(at, k + 1), F.size(free)))))
+
+    def both(placed: Column) -> Column:
+        return F.concat(F.transform(F.filter(placed, lambda x: x["o"] > 0), seed), _bound(F.filter(placed, lambda x: x["o"] == 0), runs))
+
+    return _bound(_bound(F.sort_array(F.concat(*parts)), place), both)
 
-def _context(near: Column) -> Column:
-    """The two words before an instance, lower-cased, digits as 0; empty where there are fewer."""
-    return F.regexp_replace(F.regexp_replace(F.regexp_extract(F.lower(near), r"(?<!\S)(\S++\s++\S++)\s++$", 1), r"\s+", " "), "[0-9]", "0")
 
+def base_spans(text: Column) -> Column:
+    """Per text a struct: the base spans (s, e, match) of each kind, and its instances (s, e, match, context, kind)."""
 
-def candidates(spans: DataFrame, prefix: str = "pii_") -> DataFrame:
+    def of(b: Column) -> Column:
+        kinds = {k: b[k] for k in KINDS}
+        instances = F.when(F.size(b["token"]) > 0, _instances(b["token"], kinds)).otherwise(F.array().cast(_INSTANCES))
+        return F.struct(*[F.transform(b[k], lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"))).alias(k) for k in KINDS], F.filter(instances, lambda x: x["context"] != "").alias("instances"))
+
+    found = F.struct(*[_kept(k, _spans(text, PATTERNS[k])).alias(k) for k in KINDS], _tokens(_spans(text, _TOKEN)).alias("token"))
+    return _bound(found, of)
+
+
+def candidates(spans: DataFrame) -> DataFrame:
     """(doc_id, h, context, instance, s, e, kind): instances in context; kind where they are base spans."""
-    rows = spans.select("*", F.explode(f"{prefix}token").alias("x")).select("doc_id", "h", _context(F.col("x.near")).alias("context"), F.lower("x.match").alias("instance"), "x.s", "x.e", "x.kind")
-    return rows.where("context <> ''")
+    rows = spans.select("doc_id", "h", F.explode("found.instances").alias("x"))
+    return rows.select("doc_id", "h", "x.context", F.lower("x.match").alias("instance"), "x.s", "x.e", "x.kind")
 
 
-def confident_patterns(found: DataFrame, scratch: Scratch, *, rounds: int = 3, least_support: int = 5, least_confidence: float = 0.8) -> DataFrame:
+def confident_patterns(found: DataFrame, scratch: Scratch, *, rounds: int = 6, least_support: int = 5, least_confidence: float = 0.8) -> DataFrame:
     """(context, kind) of the patterns that end confident, by iterative scores on the pattern-instance graph."""
     edges = scratch.save("edges", found.groupBy("context", "instance").agg(F.max("kind").alias("seed")))
-    seeds = edges.where("seed is not null").groupBy("instance").agg(F.max("seed").alias("kind"))
-    scores = scratch.save("scores-0", seeds.select("instance", "kind", F.lit(1.0).alias("score")))
-    seed_of = scores.select("instance", F.col("kind").alias("is_seed"))
-    size = edges.groupBy("context").agg(F.count(F.lit(1)).alias("degree"))
-    for k in range(1, rounds + 1):
-        patterns = edges.join(scores, "instance").groupBy("context", "kind").agg(F.sum("score").alias("total"), F.count(F.when(F.col("score") == 1.0, 1)).alias("support"))
-        patterns = scratch.save(f"patterns-{k}", patterns.join(size, "context").select("context", "kind", (F.col("total") / F.col("degree")).alias("confidence"), "support"))
-        if k == rounds:
+    seeds = scratch.save("seeds", edges.where("seed is not null").groupBy("instance").agg(F.max("seed").alias("kind")).withColumn("score", F.lit(1.0)))
+    unseen = scratch.save("unseen", edges.join(seeds, "instance", "left_anti").select("context", "instance"))
+    size = scratch.save("size", edges.groupBy("context").agg(F.count(F.lit(1)).alias("degree")))
+    # what the seeds give is the same in every turn
+    fixed = edges.join(seeds, "instance").groupBy("context", "kind").agg(F.sum("score").alias("total"), F.count(F.lit(1)).alias("support"))
+    fixed = scratch.save("fixed", fixed)
+    degree = unseen.groupBy("instance").agg(F.count(F.lit(1)).alias("n"))
+    best, state, spread = F.max(F.struct("confidence", "support", "kind")), None, None
+    for k in range(rounds):
+        parts = fixed if spread is None else fixed.unionByName(unseen.join(spread, "instance").select("context", "kind", F.col("score").alias("total"), F.lit(0).cast("long").alias("support")))
+        patterns = parts.groupBy("context", "kind").agg(F.sum("total").alias("total"), F.sum("support").alias("support")).join(size, "context")
+        patterns = scratch.save(f"patterns-{k}", patterns.select("context", "kind", (F.col("total") / F.col("degree")).alias("confidence"), "support"))
+        confident = patterns.where((F.col("support") >= least_support) & (F.col("confidence") >= least_confidence)).groupBy("context").agg(best["kind"].alias("kind"))
+        before, state = state, tuple(confident.agg(F.count(F.lit(1)), F.sum(F.xxhash64("context", "kind").cast("decimal(38,0)"))).first())
+        scratch.drop(f"patterns-{k - 1}", f"spread-{k - 1}")
+        if state == before or not state[0]:
             break
-        degree = edges.groupBy("instance").agg(F.count(F.lit(1)).alias("n"))
-        spread = edges.join(patterns, "context").groupBy("instance", "kind").agg(F.sum("confidence").alias("total"))
-        spread = spread.join(degree, "instance").join(seed_of, "instance", "left").where("is_seed is null").select("instance", "kind", F.least(F.col("total") / F.col("n"), F.lit(0.999)).alias("score"))
-        scores = scratch.save(f"scores-{k}", seeds.select("instance", "kind", F.lit(1.0).alias("score")).unionByName(spread))
-    best = F.max(F.struct("confidence", "support", "kind"))
-    return patterns.where((F.col("support") >= least_support) & (F.col("confidence") >= least_confidence)).groupBy("context").agg(best["kind"].alias("kind"))
+        total = unseen.join(patterns, "context").groupBy("instance", "kind").agg(F.sum("confidence").alias("total"))
+        spread = scratch.save(f"spread-{k}", total.join(degree, "instance").select("instance", "kind", (F.col("total") / F.col("n")).alias("score")))
+    return confident
 
 
-def discover(spans: DataFrame, scratch: Scratch, *, prefix: str = "pii_", **options) -> DataFrame | None:
+def discover(spans: DataFrame, scratch: Scratch, **options) -> DataFrame | None:
     """(doc_id, h, more): arrays of (kind, s, e) that confident patterns add; None where there are none."""
-    found = scratch.save("found", candidates(spans, prefix))
+    found = scratch.save("found", candidates(spans))
     patterns = scratch.save("confident", confident_patterns(found, scratch, **options))
     if patterns.isEmpty():
         return None
@@ -202,60 +237,93 @@ def discover(spans: DataFrame, scratch: Scratch, *, prefix: str = "pii_", **opti
     return scratch.save("more", unseen.groupBy("doc_id", "h").agg(F.collect_set(F.struct("kind", "s", "e")).alias("more")))
 
 
+_MORE = "array<struct<kind: string, s: int, e: int>>"
+
+
 def _with_more(spans: DataFrame, more: DataFrame | None) -> DataFrame:
     if more is None:
-        return spans.withColumn("more", F.array().cast("array<struct<kind: string, s: int, e: int>>"))
+        return spans.withColumn("more", F.array().cast(_MORE))
     other = more.select(F.col("doc_id").alias("more_id"), F.col("h").alias("more_h"), "more")
     joined = spans.join(other, (spans["h"] == other["more_h"]) & spans["doc_id"].eqNullSafe(other["more_id"]), "left").drop("more_id", "more_h")
-    return joined.withColumn("more", F.coalesce("more", F.array().cast("array<struct<kind: string, s: int, e: int>>")))
+    return joined.withColumn("more", F.coalesce("more", F.array().cast(_MORE)))
 
 
-def _all_of(kind: str, prefix: str) -> Column:
-    """Base and discovered spans of a kind as (s, e), sorted."""
-    base = F.transform(f"{prefix}{kind}", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e")))
+def _all_of(kind: str, base: Column) -> Column:
+    """Base and discovered spans of a kind as (s, e), sorted, each once."""
     more = F.transform(F.filter("more", lambda x: x["kind"] == kind), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e")))
-    return F.array_sort(F.array_distinct(F.concat(base, more)))
+    return _bound(F.sort_array(F.concat(base, more)), lambda a: F.filter(a, lambda x, i: (i == 0) | (x != F.get(a, i - 1))))
 
 
 def _told(spans: Column, kind: str) -> Column:
     return F.transform(spans, lambda x: F.concat(F.lit(f"{kind}:"), x["s"].cast("string"), F.lit(":"), x["e"].cast("string")))
 
 
-def _prepared(docs: DataFrame, name: str) -> DataFrame:
-    return docs.withColumn(name, F.coalesce(F.col("text").cast("string"), F.lit("")))
+def _tagged(spans: Column, kind: str) -> Column:
+    return F.transform(spans, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.lit(kind).alias("kind")))
 
 
-def find_personal_data(docs: DataFrame, *, window: int = 80, **options) -> DataFrame:
+def _text(name: Column) -> Column:
+    return F.coalesce(name.cast("string"), F.lit(""))
+
+
+def find_personal_data(docs: DataFrame, **options) -> DataFrame:
     """doc_id, counts and digest of the base spans, and all spans as text."""
     scratch = Scratch(docs.sparkSession, "pii")
-    picked = _prepared(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "text")
-    spans = base_spans(picked.withColumn("h", F.xxhash64("text")), "text", window=window).drop("text")
-    spans = scratch.save("spans", spans)
+    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _text(F.col("text")).alias("text"))
+    spans = scratch.save("spans", picked.select("doc_id", F.xxhash64("text").alias("h"), base_spans(F.col("text")).alias("found")))
     told = _with_more(spans, discover(spans, scratch, **options))
-    base = F.array_join(F.concat(*[_told(F.col(f"pii_{k}"), k) for k in KINDS]), ",")
-    every = F.array_join(F.concat(*[_told(_all_of(k, "pii_"), k) for k in KINDS]), ",")
-    return told.select("doc_id", *[F.size(f"pii_{k}").cast("long").alias(f"n_{k}") for k in KINDS], F.sha2(base, 256).alias("base_sha256"), every.alias("spans"))
+    base = F.array_join(F.concat(*[_told(F.col(f"found.{k}"), k) for k in KINDS]), ",")
+    every = F.array_join(F.concat(*[_told(_all_of(k, F.col(f"found.{k}")), k) for k in KINDS]), ",")
+    return told.select("doc_id", *[F.size(f"found.{k}").cast("long").alias(f"n_{k}") for k in KINDS], F.sha2(base, 256).alias("base_sha256"), every.alias("spans"))
+
+
+_BLOCK = 1024
+
+
+def _masked(text: Column, spans: Column) -> Column:
+    """The text with each maximal union of spans (s, e, kind), sorted, replaced by the first one's kind.
+
+    The text is cut from blocks of ``_BLOCK`` code points, as finding a place in a string takes
+    time in proportion to what lies before it.
+    """
+
+    def cut(blocks: Column, a: Column, b: Column) -> Column:
+        first, last = (a / _BLOCK).cast("int"), (b / _BLOCK).cast("int")
+        one = F.substr(F.get(blocks, first), a % _BLOCK + 1, b - a)
+        many = F.concat(F.substr(F.get(blocks, first), a % _BLOCK + 1, F.lit(_BLOCK)), F.array_join(F.slice(blocks, first + 2, F.greatest(F.lit(0), last - first - 1)), ""), F.coalesce(F.substr(F.get(blocks, last), F.lit(1), b % _BLOCK), F.lit("")))
+        return F.coalesce(F.when(first == last, one).otherwise(many), F.lit(""))
+
+    def of(b: Column) -> Column:
+        spans, blocks, ends = b["spans"], b["blocks"], b["ends"]
+        upto = lambda i: F.coalesce(F.get(ends, i - 1), F.lit(0))
+        pieces = F.transform(spans, lambda x, i: F.when(x["s"] >= upto(i), F.concat(cut(blocks, upto(i), x["s"]), F.lit("["), F.upper(x["kind"]), F.lit("]"))).otherwise(F.lit("")))
+        end = F.get(ends, F.size(ends) - 1)
+        return F.concat(F.array_join(pieces, ""), cut(blocks, end, b["n"]))
+
+    def bind(every: Column) -> Column:
+        ends = _scan(F.transform(every, lambda x: x["e"]), F.greatest)
+        return _bound(F.struct(every.alias("spans"), F.regexp_extract_all(text, F.lit(f"(?s).{{1,{_BLOCK}}}"), F.lit(0)).alias("blocks"), ends.alias("ends"), F.length(text).alias("n")), of)
+
+    return _bound(spans, bind)
 
 
-def redact(docs: DataFrame, *, window: int = 80, **options) -> DataFrame:
+def redact(docs: DataFrame, **options) -> DataFrame:
     """The documents, own columns only, with every span replaced by its kind in brackets; overlapping spans become one."""
     scratch = Scratch(docs.sparkSession, "pii")
-    columns = docs.columns
-    wide = _prepared(docs.withColumn("pii_text", F.col("text")), "pii_text").withColumn("h", F.xxhash64("pii_text"))
-    spans = base_spans(wide, "pii_text", window=window)
-    arrays = [f"pii_{k}" for k in (*KINDS, "token")]
-    kept = scratch.save("spans", spans.select("doc_id", "h", *arrays).where(" or ".join(f"size({a}) > 0" for a in arrays)))
-    every = _with_more(spans, discover(kept, scratch, **options))
-    tagged = F.array_sort(F.concat(*[F.transform(_all_of(k, "pii_"), _tag(k)) for k in KINDS]))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    t = F.col("pii_text")
-
-    def step(acc: Column, x: Column) -> Column:
-        apart = x["s"] >= acc["at"]
-        piece = F.concat(F.substr(t, acc["at"] + 1, F.greatest(F.lit(0), x["s"] - acc["at"])), F.lit("["), F.upper(x["kind"]), F.lit("]"))
-        return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), F.when(apart, F.concat(acc["out"], piece)).otherwise(acc["out"]).alias("out"))
-
-    done = F.aggregate(tagged, start, step, lambda acc: F.concat(acc["out"], F.substr(t, acc["at"] + 1, F.length(t))))
-    text = F.when(F.size(tagged) > 0, done).otherwise(F.col("text"))
-    out = every.withColumn("pii_new", text)
-    return out.select(*[F.col("pii_new").alias("text") if c == "text" else F.length("pii_new").cast(docs.schema["n_chars"].dataType).alias("n_chars") if c == "n_chars" else F.col(f"`{c}`") for c in columns])
+    wide = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own"), F.col("doc_id").alias("doc_id"), _text(F.col("text")).alias("text"))
+    wide = wide.withColumn("h", F.xxhash64("text"))
+    spans = wide.select("doc_id", "h", base_spans(F.col("text")).alias("found"))
+    some = " or ".join(f"size(found.{k}) > 0" for k in (*KINDS, "instances"))
+    kept = scratch.save("spans", spans.where(some))
+    more = discover(kept, scratch, **options)
+    every = _with_more(kept.dropDuplicates(["doc_id", "h"]), more).select(F.col("doc_id").alias("of_id"), F.col("h").alias("of_h"), F.sort_array(F.concat(*[_tagged(_all_of(k, F.col(f"found.{k}")), k) for k in KINDS])).alias("spans"))
+    every = scratch.save("every", every.where("size(spans) > 0"))
+    joined = wide.join(every, (wide["h"] == every["of_h"]) & wide["doc_id"].eqNullSafe(every["of_id"]), "left")
+    new = F.when(F.size("spans") > 0, _masked(F.col("text"), F.col("spans"))).otherwise(F.col("own.text"))
+    out = joined.select("own", new.alias("new"))
+    columns = []
+    for c in docs.columns:
+        kind = docs.schema[c].dataType
+        value = F.col("new") if c == "text" else F.length("new").cast(kind) if c == "n_chars" else F.col("own")[c]
+        columns.append(value.alias(c))
+    return out.select(*columns)
