@@ -417,3 +417,93 @@ def test_sql_twins(spark, name):
     from tests.oracle_check import mismatch
 
     assert mismatch(spark, "/root/testdata/sf0.001", queries()[name], oracle_sql()[name]) is None
+
+
+def licence_rows(spark, files):
+    from siltwork.llm.licenses import licences
+
+    table = spark.createDataFrame([(i, p, t, "x") for i, (p, t) in enumerate(files)], "id long, path string, text string, licence string")
+    return {r.id: r for r in licences(table).collect()}
+
+
+def test_licence_texts_headers_and_tags_are_found(spark):
+    from siltwork.llm import licence_texts as texts
+
+    wrap = lambda t, mark="": "\n".join(f"{mark}{x}" for x in re.findall(r"\S.{0,68}(?:\s|$)", t))
+    mit = "MIT License\n\nCopyright (c) 2021 Some Body\n\n" + wrap(texts._MIT_GRANT + ", subject to the following conditions:") + "\n\n" + wrap("The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.") + "\n\n" + wrap(texts._AS_IS_MIT)
+    bsd = lambda *clauses: "Copyright 2020 Somebody. All rights reserved.\n\n" + "\n\n".join(wrap(c) for c in (texts._BSD_OPEN, texts._BSD_1, texts._BSD_2, *clauses, texts._BSD_AS_IS))
+    gpl = texts._gnu("", "3")[1]
+    code = "\n\nint main(void) {\n  return 0;\n}\n" * 30
+    files = [
+        ("/a/LICENSE", mit), ("/b/LICENSE", bsd()), ("/c/COPYING", bsd(texts._BSD_3)), ("/d/x.c", "/*\n" + wrap(gpl, " * ") + "\n */\n" + code), ("/e/x.py", "#!/usr/bin/python\n" + wrap(texts._APACHE, "# ") + "\n" + code),
+        ("/f/x.c", "// SPDX-License-Identifier: GPL-2.0-or-later\n" + code), ("/g/x.rs", "// SPDX-License-Identifier: MIT\n" + code), ("/h/LICENSE", "                    GNU GENERAL PUBLIC LICENSE\n                       Version 2, June 1991\n\n Copyright (C) 1989\n\n" + prose(400, 3)),
+        ("/i/x", "Copyright 2024 Jane Roe. Released under the MIT License."), ("/j/x", wrap("the license of the work is under discussion, and nothing is released under terms that the author or the publisher would call free " * 5)), ("/k/x", mit.upper() + code + mit),
+        ("/l/x", "SPDX-License-Identifier: Nothing-1.0"), ("/m/x", "x" * 200_000 + "\nReleased under the ISC License.\n" + prose(20_000, 2)), ("/n/x", "a\n" * 50_000 + "Licensed under CC BY 4.0."),
+    ]
+    got = licence_rows(spark, files + [(f"/z/{k}", prose(50, k)) for k in range(40)])
+    want = ["MIT", "BSD-2-Clause", "BSD-3-Clause", "GPL-3.0", "Apache-2.0", "GPL-2.0", "MIT", "GPL-2.0", "MIT", None, "MIT", None, "ISC", "CC-BY-4.0"]
+    assert [got[i].licence for i in range(len(want))] == want
+    assert all(got[i].licence is None for i in range(len(files), len(files) + 40))
+
+
+def test_licence_scores_and_ancestors_equal_brute_force(spark):
+    import math
+    from collections import Counter
+
+    from siltwork.llm.licence_texts import forms
+    from siltwork.llm.licenses import LEAST
+
+    r = random.Random(3)
+    lines = ["Released under the MIT License.", "Licensed under the Apache License, Version 2.0", "Licensed under the BSD 2-Clause License", "the GNU General Public License, version 2 or 3", "released under the public license", "Licensed under the BSD License", None, "", "no words of law here"]
+    paths = ["/LICENSE", "/a/LICENSE", "/a/b/NOTICE", "/a/b/c/d/x", "/a/b/x", "/q/x", "/q/LICENSE.md", "/q/r/s/t", "a/x", None]
+    files = [(r.choice(paths) if k % 3 else f"{r.choice(['/a', '/a/b', '/q/r', '/w'])}/f{k}", r.choice(lines)) for k in range(60)]
+    got = licence_rows(spark, files)
+    terms = lambda t: Counter(re.findall("[a-z0-9]+", (t or "").lower()))
+    n, seen = len(files), Counter(x for _, t in files for x in terms(t))
+    known = {x for f in forms().values() for t in f for x in terms(t)}
+    weigh = lambda t: {x: c * (math.log((1 + n) / (1 + (seen[x] if x in known else 0))) + 1) for x, c in terms(t).items()}
+
+    def cosine(a, b):
+        norm = lambda v: math.sqrt(sum(x * x for x in v.values()))
+        return sum(w * b.get(x, 0) for x, w in a.items()) / (norm(a) * norm(b)) if a else 0
+
+    units = [(name, weigh(t)) for name, f in sorted(forms().items()) for t in f]
+    norm = lambda p: "/" + (p or "").lstrip("/")
+    own = []
+    for _, t in files:
+        best = max((round(cosine(weigh(t), u), 6), -k) for k, (_, u) in enumerate(units))
+        own.append((units[-best[1]][0], best[0]) if best[0] >= LEAST else None)
+    speaks = {}
+    for (p, _), o in sorted(zip(files, own), key=lambda x: norm(x[0][0])):
+        if o and re.search(r"(?i)/(licen[cs]e|copying|notice|unlicense)[^/]*$", norm(p)):
+            d = norm(p).rpartition("/")[0]
+            speaks[d] = min(speaks.get(d, (norm(p), o[0])), (norm(p), o[0]))
+    for i, ((p, _), o) in enumerate(zip(files, own)):
+        d, up = norm(p).rpartition("/")[0], None
+        while not o and up is None:
+            up = speaks.get(d)
+            if not d:
+                break
+            d = d.rpartition("/")[0]
+        assert (got[i].licence, got[i].how, got[i].from_path) == ((o[0], "header", norm(p)) if o else (up[1], "inherited", up[0]) if up else (None, None, None)), (i, files[i])
+        if o:
+            assert abs(got[i].score - o[1]) < 2e-6
+
+
+def test_personal_data_with_clashing_names_and_many_matches(spark):
+    import time
+
+    from siltwork.llm.pii import find_personal_data, redact
+
+    table = spark.createDataFrame([(1, "mail me@x.org", "keep", 5, "p", 3), (None, None, None, None, None, None)], "doc_id long, text string, h string, more int, pii_email string, found int")
+    for r in redact(table).collect():
+        assert tuple(r) == ((1, "mail [EMAIL]", "keep", 5, "p", 3) if r.doc_id else (None,) * 6)
+    texts = ["x1 " * 100_000, " ".join(f"u{k}@x.org, +1 ({k % 900 + 100}) 555-2485" for k in range(10_000)), "é" * 3000 + " me@x.org " + "😀" * 3000]
+    began = time.time()
+    rows = {r.doc_id: r for r in find_personal_data(docs(spark, texts)).collect()}
+    out = {r.doc_id: r.text for r in redact(docs(spark, texts)).collect()}
+    assert time.time() - began < 120
+    assert rows[0].spans == "" and out[0] == texts[0] and out[2] == "é" * 3000 + " [EMAIL] " + "😀" * 3000
+    want = brute_pii(texts[1])
+    assert rows[1].base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, spans in want.items() for a, b in spans).encode()).hexdigest()
+    assert rows[1].n_email == rows[1].n_phone == 10_000 and out[1] == ", ".join(["[EMAIL]"] * 1) + ", [PHONE]" + " [EMAIL], [PHONE]" * 9_999
