@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read
 again as the next one's docs.  All but the last return the columns of documents.
+
+Defined cases: a null or empty text has no labels' words, shingles, windows or personal data, so all
+stages keep it, and packing gives its end id only; a null doc_id keeps its row, and links with
+nothing; repeated rows share one fate, but near-duplicates keep every row of the id that stays; an
+empty table gives an empty table; other columns pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,10 +31,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold windows of any benchmark item go."""
+    """Documents that hold eight words of any benchmark item, or windows of two shorter ones, go."""
     from siltwork.llm.leaks import decontaminate
 
-    return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), min_items=1)
+    return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), min_items=2, least_words=8)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
