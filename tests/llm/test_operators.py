@@ -507,3 +507,49 @@ def test_personal_data_with_clashing_names_and_many_matches(spark):
     want = brute_pii(texts[1])
     assert rows[1].base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, spans in want.items() for a, b in spans).encode()).hexdigest()
     assert rows[1].n_email == rows[1].n_phone == 10_000 and out[1] == ", ".join(["[EMAIL]"] * 1) + ", [PHONE]" + " [EMAIL], [PHONE]" * 9_999
+
+
+def test_html_optional_end_tags_and_misleading_names():
+    from siltwork.llm.html import main_text
+
+    assert main_text("<article><h1>T</h1><p class=promo>Buy<p>Real text one.</p><p>More real text.</p></article>") == "T\n\nReal text one.\n\nMore real text."
+    assert main_text("<article><div class='share-of-market'>Share text</div><p>Text <span class=ad>buy</span> more &amp; <b>x</b></p></article>") == "Share text\n\nText more & x"
+    body = "".join(f"<p>{prose(40, k)}" for k in range(3))
+    want = "\n\n".join(prose(40, k) for k in range(3))
+    assert main_text(f"<body><div class='MainContent widget-area'>{body}</div><footer>f</footer>") == want
+    assert main_text(f"<body><form id=aspnet><nav><a>x</a></nav>{body}</form>") == want
+    assert main_text(f"<body><nav><ul><li><a>x</a><article>{body}</article><div class=sidebar>{prose(30, 9)}</div>") == want
+    assert main_text("<ul><li>one<li>two<ul><li>three</ul><li class='ad'>no<li>four</ul><dl><dt>a<dd>b<dt class=ads>no<dd>c</dl><table><tr><td>d<td class=widget>no<tr><td>e</table>") == "\n\n".join(["one", "two", "three", "four", "a", "b", "c", "d", "e"])
+
+
+def test_html_surge_and_dive_decide_beside_an_article():
+    from siltwork.llm.html import between_dives, main_text
+
+    body = "".join(f"<p>{prose(60, k)}</p>" for k in range(4))
+    want = "\n\n".join(prose(60, k) for k in range(4))
+    assert main_text(f"<p>{prose(20, 7)}</p><article>{body}</article><p>{prose(20, 8)}</p><article>so what</article>") == want
+    assert main_text(f"<article>{body}</article><p>{prose(150, 8)}</p>") == want + "\n\n" + prose(150, 8)
+    sizes = [0, 5, 0, 0, 0, 30, 0, 60, 1, 0, 0, 0, 40, 40, 0, 0, 0, 79]
+    for width, surge in ((1, 50), (3, 80), (4, 1)):
+        kept, i = [False] * len(sizes), 0
+        sums = [sum(sizes[k : k + width]) for k in range(len(sizes))]
+        for i in range(len(sizes)):
+            begin = end = i
+            while end < len(sizes) and sums[end] > 0:
+                end += 1
+            while begin > 0 and sums[begin - 1] > 0:
+                begin -= 1
+            first = next((k for k in range(begin, end) if sizes[k]), end)
+            kept[i] = first <= i < end and max(sums[first:end]) >= surge
+        assert between_dives(sizes, width, surge) == kept
+
+
+@pytest.mark.parametrize("text", ["<a " * 16_000, "<a b='" * 16_000, "<div>" * 20_000 + "</x>" * 20_000, "<ul>" + "<b>" * 20_000 + "<li></li>" * 20_000, "<script" * 20_000, "<div class=ad>" * 20_000, "<!--" * 20_000, "<" * 50_000, "<p>x" * 20_000])
+def test_html_is_linear_on_hostile_pages(text):
+    import time
+
+    from siltwork.llm.html import main_text
+
+    began = time.time()
+    main_text(text)
+    assert time.time() - began < 10
