@@ -1,7 +1,11 @@
 """Lookups into reference tables: ``select cols from table where cond ;`` as joins.
 
-Only the distinct parameter tuples are looked up; the answers, one row per tuple, are joined back
-left outer.  Spark picks broadcast or shuffle by the tables' sizes.  Equalities are the join keys.
+Where every parameter is compared by ``=`` with a column of its own type, the table is made unique by
+these columns and joined to the records once, left outer.  Otherwise only the distinct parameter
+tuples are looked up, and the answers, one row per tuple, are joined back.  Spark picks broadcast or
+shuffle by the tables' sizes.  Equalities are the join keys; ``or`` is a union of disjoint lookups.
+A condition with neither equality, list nor range compares every tuple with every row: it is refused
+for tables of more than ``MOST_COMPARED`` rows.
 A range ``low <= x and high >= x`` becomes an equality too: each range is filed under the one or two
 aligned blocks of its own power-of-two size, and a value probes the block of every size in use.
 """
@@ -20,6 +24,7 @@ from siltwork.plans.text import Scanner, SyntaxProblem
 from siltwork.plans.values import Literal, quote
 
 MOST_PARAMETERS = 5
+MOST_COMPARED = 100_000
 _WORD = r"[A-Za-z_]\w*"
 _AGGREGATES = frozenset("count sum avg min max group_concat string_agg".split())
 
@@ -199,31 +204,71 @@ def join(df: DataFrame, scope, node: Select, table: DataFrame, targets, evaluate
         left, right = column(c[1]), operand(c[2])
         return {"=": left == right, "!=": left != right, ">": left > right, ">=": left >= right, "<": left < right, "<=": left <= right}[c[0]]
 
+    plain = [c for c in _conjuncts(node.where) if not _parameters(c)]
+    equal = [c for c in _conjuncts(node.where) if _parameters(c)]
+    if equal and all(c[0] == "=" and _same_kind(dim.schema[f"{tag}_t_{c[1]}"].dataType, df.schema[bound[id(c[2])][0]].dataType) for c in equal) and len({c[1] for c in equal}) == len(equal):
+        rows = dim.where(reduce(lambda x, y: x & y, map(compiled, plain))) if plain else dim
+        unique = rows.groupBy(*[column(c[1]).alias(f"{tag}_k{k}") for k, c in enumerate(equal)]).agg(*_answers(wanted, column, tag))
+        on = reduce(lambda x, y: x & y, [operand(c[2]) == F.col(f"{tag}_k{k}") for k, c in enumerate(equal)])
+        return _targets(df.join(_unpacked(unique, [f"{tag}_k{k}" for k in range(len(equal))], wanted, tag), on, "left").drop(*[f"{tag}_k{k}" for k in range(len(equal))]), wanted, targets, tag)
+
     asked = df.select(*names).distinct() if names else df.sparkSession.range(1).select(F.lit(True).alias(f"{tag}_one"))
     keys = names or [f"{tag}_one"]
-    parts = _conjuncts(node.where)
-    ranged = next((c for c in parts if c[0] == "between"), None) or _plain_range(parts)
-    lists = [c for c in parts if c[0] == "in"]
-    if ranged is not None and not any(c[0] == "=" for c in parts):
-        probe, dim = _blocks(asked, dim, ranged, operand, column, tag)
-        hits = probe.join(dim, [f"{tag}_size", f"{tag}_block"]).where(compiled(node.where))
-    elif lists and not any(c[0] == "=" for c in parts):
-        first = lists[0]
-        probe = asked.withColumn(f"{tag}_k", F.explode(F.array_distinct(F.filter(F.array(*[operand(x).cast("string") for x in first[2]]), lambda x: x.isNotNull()))))
-        hits = probe.join(dim, F.col(f"{tag}_k") == column(first[1]).cast("string")).where(compiled(node.where))
-    else:
-        hits = asked.join(dim, compiled(node.where))
-    if any(i.function for i in wanted):
-        answers = hits.groupBy(*keys).agg(*[_aggregate(i, column).alias(f"{tag}_a{k}") for k, i in enumerate(wanted)])
-    else:
-        row = F.min(F.struct(*[column(i.column).alias(f"a{k}") for k, i in enumerate(wanted)])).alias(f"{tag}_r")
-        answers = hits.groupBy(*keys).agg(row).select(*keys, *[F.col(f"{tag}_r.a{k}").alias(f"{tag}_a{k}") for k in range(len(wanted))])
+
+    def hits_of(where, without) -> DataFrame:
+        """Pairs of tuples and rows that meet the condition, and none of those before it."""
+        parts = _conjuncts(where)
+        test = reduce(lambda x, y: x & ~F.coalesce(compiled(y), F.lit(False)), without, compiled(where))
+        ranged = next((c for c in parts if c[0] == "between"), None) or _plain_range(parts)
+        lists = [c for c in parts if c[0] == "in"]
+        if any(c[0] == "=" for c in parts):
+            return asked.join(dim, test)
+        if ranged is not None:
+            probe, filed = _blocks(asked, dim, ranged, operand, column, tag)
+            return probe.join(filed, [f"{tag}_size", f"{tag}_block"]).where(test)
+        if lists:
+            probe = asked.withColumn(f"{tag}_k", F.explode(F.array_distinct(F.filter(F.array(*[operand(x).cast("string") for x in lists[0][2]]), lambda x: x.isNotNull()))))
+            return probe.join(dim, F.col(f"{tag}_k") == column(lists[0][1]).cast("string")).where(test)
+        either = next((c for c in parts if c[0] == "or"), None)
+        if either is not None:
+            rest = [c for c in parts if c is not either]
+            first, second = (reduce(lambda x, y: ("and", x, y), [c, *rest]) for c in either[1:])
+            columns = [*keys, *dim.columns]
+            return hits_of(first, without).select(*columns).unionByName(hits_of(second, [*without, first]).select(*columns))
+        if dim.limit(MOST_COMPARED + 1).count() > MOST_COMPARED:
+            raise SyntaxProblem(f"a lookup by lone comparisons takes tables of at most {MOST_COMPARED} rows: {node}")
+        return asked.join(F.broadcast(dim), test)
+
+    hits = hits_of(node.where, [])
+    answers = _unpacked(hits.groupBy(*keys).agg(*_answers(wanted, column, tag)), keys, wanted, tag)
     if names:
         other = answers.select(*[F.col(n).alias(f"{n}_") for n in names], *[f"{tag}_a{k}" for k in range(len(wanted))])
         on = reduce(lambda a, b: a & b, [F.col(n).eqNullSafe(F.col(f"{n}_")) for n in names])
         df = df.join(other, on, "left").drop(*[f"{n}_" for n in names])
     else:
         df = df.withColumn(keys[0], F.lit(True)).join(answers, keys, "left").drop(*keys)
+    return _targets(df, wanted, targets, tag)
+
+
+def _same_kind(a, b) -> bool:
+    whole = ("tinyint", "smallint", "int", "bigint")
+    return a == b or a.simpleString() in whole and b.simpleString() in whole
+
+
+def _answers(wanted: list[Item], column, tag: str) -> list[Column]:
+    """Aggregates, or the smallest row."""
+    if any(i.function for i in wanted):
+        return [_aggregate(i, column).alias(f"{tag}_a{k}") for k, i in enumerate(wanted)]
+    return [F.min(F.struct(*[column(i.column).alias(f"a{k}") for k, i in enumerate(wanted)])).alias(f"{tag}_r")]
+
+
+def _unpacked(answers: DataFrame, keys: list[str], wanted: list[Item], tag: str) -> DataFrame:
+    if any(i.function for i in wanted):
+        return answers
+    return answers.select(*keys, *[F.col(f"{tag}_r.a{k}").alias(f"{tag}_a{k}") for k in range(len(wanted))])
+
+
+def _targets(df: DataFrame, wanted: list[Item], targets, tag: str):
     out = []
     for k, (item, target) in enumerate(zip(wanted, list(targets) + ["_"] * (len(wanted) - len(targets)))):
         c = F.col(f"{tag}_a{k}")

@@ -2,12 +2,16 @@
 
 ``package /p { rule r { |decode/base64| (ip:sip, 2*_, time/clf<[,]>, http/request", digit)\\, } }``
 Fields follow each other, separated by blanks or the group's separator; a rule gives a struct of
-its fields and what is left of the text, or NULL where it does not match.  Unknown constructs raise.
+its fields and what is left of the text, or NULL where it does not match.  The text is matched once:
+one replacement puts the groups side by side, parted by a noncharacter that Unicode keeps for such
+internal use, and the fields are typed from the pieces.  A text that holds it matches no rule.
+Unknown constructs raise; unknown pre-processors are stubs that leave the text as it is.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column
@@ -27,6 +31,16 @@ _FREE = frozenset(("chars", "http/request", "http/agent", "url", "symbol", "_",
 _TYPE = r"_|[a-z]+(?:/[a-z]+)?"
 
 
+@dataclass(frozen=True)
+class Sub:
+    """A sub-field ``type@key:name +function(argument)`` of json, kv and kvarr; type ``_`` drops the key."""
+
+    kind: str
+    key: str
+    name: str
+    enrich: tuple[str, str] | None = None
+
+
 @dataclass(frozen=True)
 class Part:
     """One field of a layout."""
@@ -37,7 +51,7 @@ class Part:
     close: str = ""
     separator: str | None = None
     literal: str | None = None
-    key: str | None = None
+    subs: tuple[Sub, ...] = ()
     times: int | None = 1  # None: any number
     checks: tuple = ()
 
@@ -109,7 +123,7 @@ def _rule(s: Scanner, package: str) -> Rule:
         mode = s.take(r"(alt|opt|not|seq)\b")
         s.need(r"\(", "a group")
         parts = [_part(s)]
-        while s.take(","):
+        while s.take(",") or (parts[-1].separator is not None and not s.peek(r"\)")):
             parts.append(_part(s))
         s.need(r"\)", ")")
         rule.groups.append(Group(mode[1] if mode else "seq", tuple(parts), _separator(s) or " "))
@@ -128,19 +142,25 @@ def _separator(s: Scanner) -> str | None:
     return {"t": "\t", "s": " ", "S": "\0[ ]+"}.get(found[1], found[1])
 
 
+def _sub(text: str) -> Sub:
+    found = re.fullmatch(rf"({_TYPE})?\s*@([^\s:+]+)(?::([\w./-]+))?\s*(?:\+(\w+)\((\w+)\))?", text)
+    if not found or (found[1] and found[1] != "_" and found[1] not in _VALUES and found[1] not in _FREE):
+        raise SyntaxProblem(f"no sub-field: {text!r}")
+    return Sub(found[1] or "chars", found[2], found[3] or found[2], (found[4], found[5]) if found[4] else None)
+
+
 def _part(s: Scanner) -> Part:
     times = s.take(r"(\d*)\*(?=[a-z_])")
     kind = s.need(_TYPE, "a field type")[0]
     if kind != "_" and kind not in _VALUES and kind not in _FREE and kind != "kvarr":
         raise SyntaxProblem(f"no such field type: {kind}")
-    literal = key = None
+    literal, subs = None, ()
     if s.take(r"\("):
-        inside = s.need(r"([^()]*)\)")[1]
+        inside = s.need(r"((?:[^()]|\([^()]*\))*)\)")[1]
         if kind == "symbol":
             literal = inside
         else:
-            found = re.search(r"@([\w./-]+)", inside)
-            key = found[1] if found else None
+            subs = tuple(_sub(x.strip()) for x in inside.split(",") if x.strip())
     length = s.take(r"\[(\d+)\]")
     name = s.take(r":([A-Za-z_][\w./-]*)")
     opened = closed = ""
@@ -157,7 +177,7 @@ def _part(s: Scanner) -> Part:
     while s.take(r"\|(?!\|)"):
         checks.append((s.need(r"!?[a-z_]+")[0], tuple(x.strip().strip("'\"") for x in s.need(r"\(([^()]*)\)")[1].split(",")) if s.peek(r"\(") else ()))
     del length
-    return Part(kind, name[1] if name else kind, opened, closed, separator, literal, key, (int(times[1]) if times and times[1] else None if times else 1), tuple(checks))
+    return Part(kind, name[1] if name else kind, opened, closed, separator, literal, subs, (int(times[1]) if times and times[1] else None if times else 1), tuple(checks))
 
 
 def _value_pattern(p: Part, separator: str) -> str:
@@ -167,6 +187,8 @@ def _value_pattern(p: Part, separator: str) -> str:
         return _VALUES[p.kind]
     if p.kind == "json":
         return r"(?s:\{.*\})"
+    if p.kind == "kvarr":
+        return r"(?s:\S.*?)(?=\s*$)" if p.separator is None else r"(?s:\S.*?)"
     if p.close:
         return f"[^{re.escape(p.close[0])}]*"
     if separator.startswith("\0"):
@@ -174,22 +196,22 @@ def _value_pattern(p: Part, separator: str) -> str:
     return f"[^{re.escape(separator)}]+" if separator != " " else r"\S+"
 
 
-def layout_pattern(rule: Rule) -> tuple[str, list[Part]]:
-    """The anchored expression with one group per kept field and a last one for the rest, and these fields."""
+def layout_pattern(rule: Rule) -> tuple[str, list[tuple[Part, str]]]:
+    """The anchored expression with one group per kept field and a last one for the rest, and these fields with their separators."""
     out, fields, first = [], [], True
     for g in rule.groups:
         body, inside = [], []
         for p in g.parts:
             separator = p.separator or g.separator
             one = re.escape(p.open) + ("(" if p.kind != "_" and p.times == 1 else "(?:") + _value_pattern(p, separator) + ")" + re.escape(p.close)
-            gap = separator[1:] if separator.startswith("\0") else r" +" if separator == " " else re.escape(separator) + " *"
+            gap = separator[1:] if separator.startswith("\0") else (r" *" if p.close else r" +") if separator == " " else re.escape(separator) + " *"
             if p.times is None:
                 one = f"(?:{one}(?:{gap}|$))*" if p.kind == "_" else f"({one}(?:{gap}{one})*)"
             elif p.times > 1:
                 one = rf"{one}(?:{gap}{one}){{{p.times - 1}}}" if p.kind == "_" else f"({one}(?:{gap}{one}){{{p.times - 1}}})"
             body.append((one, gap, p.times is None and p.kind == "_"))
             if p.kind != "_":
-                inside.append(p)
+                inside.append((p, separator))
         if g.mode == "alt":
             text = "(?:" + "|".join(b for b, _, _ in body) + ")"
         else:
@@ -217,50 +239,82 @@ def typed(text: Column, kind: str) -> Column:
         return text.try_cast("double")
     if kind == "bool":
         return text.try_cast("boolean")
-    if kind in ("time", "time/clf"):
-        bare = F.regexp_replace(F.regexp_replace(text, r" [+-][0-9]{4}$", ""), r"^([0-9]{4}-[0-9]{2}-[0-9]{2})T", "$1 ")
-        return F.coalesce(F.when(bare.rlike("^[0-9]{4}-"), bare.try_cast("timestamp_ntz")), F.when(bare.rlike("^[0-9]{2}/"), F.try_to_timestamp(bare, F.lit(_CLF)).cast("timestamp_ntz")), F.when(bare.rlike("^[A-Z][a-z]{2} +[0-9]{1,2} [0-9]{4} "), F.try_to_timestamp(F.regexp_replace(bare, " +", " "), F.lit("MMM d yyyy HH:mm:ss")).cast("timestamp_ntz")))
-    if kind in ("http/request", "http/agent", "chars"):
-        return text
+    clf = F.try_to_timestamp(F.substring(text, 1, 20), F.lit(_CLF)).cast("timestamp_ntz")
+    if kind == "time/clf":
+        return clf
+    if kind == "time":
+        named = F.try_to_timestamp(F.regexp_replace(text, " +", " "), F.lit("MMM d yyyy HH:mm:ss")).cast("timestamp_ntz")
+        digit = F.substring(text, 1, 1).between("0", "9")
+        return F.when(digit & (F.substring(text, 3, 1) == "/"), clf).when(digit, text.try_cast("timestamp_ntz")).otherwise(named)
     return text
 
 
+def _entries(text: Column, rx: str) -> Column:
+    """(key, place, value) of every pair; the expression is matched once a group."""
+    keys, values = F.regexp_extract_all(text, F.lit(rx), F.lit(1)), F.regexp_extract_all(text, F.lit(rx), F.lit(2))
+    pairs = F.arrays_zip(keys.alias("k"), values.alias("v"))
+    return F.transform(pairs, lambda e, i: F.struct(e["k"].alias("k"), i.alias("i"), F.regexp_replace(F.trim(e["v"]), '^"|"$', "").alias("v")))
+
+
+def _bound(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, as a lambda's argument."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _last_of_each(entries: Column) -> Column:
+    """Map of the last value of each key: entries sorted by key and place, so n log n."""
+    last = lambda a: F.filter(a, lambda x, i: (i == F.size(a) - 1) | (F.get(a, i + 1)["k"] != x["k"]))
+    return F.map_from_entries(F.transform(_bound(F.sort_array(entries), last), lambda x: F.struct(x["k"].alias("key"), x["v"].alias("value"))))
+
+
 def key_values(text: Column, pair: str = ",", sign: str = "=") -> Column:
     """Map of key=value (or key: value) pairs; the last of a repeated key stays, quotes are stripped."""
     rx = rf"([^\s{re.escape(pair)}=:\"]+)\s*[{sign}]\s*(\"[^\"]*\"|[^{re.escape(pair)}]*)"
-    entries = F.arrays_zip(F.regexp_extract_all(text, F.lit(rx), F.lit(1)).alias("k"), F.regexp_extract_all(text, F.lit(rx), F.lit(2)).alias("v"))
-    entries = F.transform(entries, lambda e: F.struct(e["k"], F.regexp_replace(F.trim(e["v"]), '^"|"$', "")))
-    last = F.aggregate(entries, F.array().cast("array<struct<k:string,v:string>>"), lambda acc, e: F.concat(F.filter(acc, lambda x: x["k"] != e.getField("k")), F.array(F.struct(e.getField("k").alias("k"), e.getField("col2").alias("v")))))
-    return F.map_from_entries(last)
+    return _last_of_each(_entries(text, rx))
 
 
 def key_value_array(text: Column) -> Column:
-    """kvarr: pairs by = or :, repeated keys become key[0], key[1], ..."""
+    """kvarr: pairs by = or :, repeated keys become key[0], key[1], ...; a key that is so named already gives way to the later one."""
+
+    def named(a: Column) -> Column:
+        # place of the first entry of each key: a running maximum by doubling
+        first = F.transform(a, lambda x, i: F.when((i == 0) | (F.get(a, i - 1)["k"] != x["k"]), i).otherwise(F.lit(0)))
+        steps = F.filter(F.array(*[F.lit(1 << k) for k in range(31)]), lambda p: p < F.size(a))
+        starts = F.aggregate(steps, first, lambda acc, p: F.transform(acc, lambda x, i: F.when(i >= p, F.greatest(x, F.get(acc, i - p))).otherwise(x)))
+
+        def one(x: Column, i: Column, at: Column) -> Column:
+            many = (F.get(at, i) < i) | (F.get(at, i + 1) == F.get(at, i))
+            return F.struct(F.when(many, F.concat(x["k"], F.lit("["), (i - F.get(at, i)).cast("string"), F.lit("]"))).otherwise(x["k"]).alias("k"), x["i"].alias("i"), x["v"].alias("v"))
+
+        return _bound(starts, lambda at: F.transform(a, lambda x, i: one(x, i, at)))
+
     rx = r"([^\s,=:\"]+)\s*[=:]\s*(\"[^\"]*\"|[^\s,]*)"
-    keys, values = F.regexp_extract_all(text, F.lit(rx), F.lit(1)), F.regexp_extract_all(text, F.lit(rx), F.lit(2))
+    return _last_of_each(_bound(F.sort_array(_entries(text, rx)), named))
+
+
+def _unescaped(raw: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(F.trim(raw), '^"|"$', ""), r'\\"', '"'), r"\\\\", r"\\")
 
-    def entry(k: Column, i: Column) -> Column:
-        total = F.size(F.filter(keys, lambda x: x == k))
-        before = F.size(F.filter(F.slice(keys, 1, i), lambda x: x == k))
-        name = F.when(total > 1, F.concat(k, F.lit("["), before.cast("string"), F.lit("]"))).otherwise(k)
-        return F.struct(name.alias("k"), F.regexp_replace(F.get(values, i), '^"|"$', "").alias("v"))
 
-    return F.map_from_entries(F.transform(keys, entry))
+Pipe = Callable[[Column], Column]
+_PIPES: dict[str, Pipe] = {
+    "DECODE/BASE64": lambda raw: F.try_to_binary(raw, F.lit("base64")).cast("string"),
+    "DECODE/HEX": lambda raw: F.unhex(raw).cast("string"),
+    "UNQUOTE/UNESCAPE": _unescaped,
+    "STRIP/BOM": lambda raw: F.regexp_replace(raw, "^\ufeff", ""),
+}
+_PIPES["BASE64"] = _PIPES["DECODE/BASE64"]
+
+
+def register_pipe(name: str, pipe: Pipe) -> None:
+    """Adds a pre-processor, a function from column to column, under its upper-cased name."""
+    _PIPES[name.upper()] = pipe
 
 
 def prepare(raw: Column, steps: tuple[str, ...]) -> Column:
-    """Pre-processors run on the raw text before the layout."""
+    """Pre-processors run on the raw text before the layout; a name that nobody registered is a stub."""
     for step in steps:
-        if step in ("decode/base64", "base64"):
-            raw = F.try_to_binary(raw, F.lit("base64")).cast("string")
-        elif step == "decode/hex":
-            raw = F.unhex(raw).cast("string")
-        elif step == "unquote/unescape":
-            raw = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.trim(raw), '^"|"$', ""), r'\\"', '"'), r"\\\\", r"\\")
-        elif step == "strip/bom":
-            raw = F.regexp_replace(raw, "^\ufeff", "")
-        else:
-            raise SyntaxProblem(f"no such pre-processor: {step}")
+        raw = _PIPES.get(step.upper(), lambda c: c)(raw)
     return raw
 
 
@@ -292,36 +346,82 @@ _CHANGES = {
 }
 
 
-def compile_rule(rule: Rule, raw: Column) -> tuple[Column, dict[str, Field]]:
-    """(struct of the fields and ``left``, or NULL; the fields' types)."""
+_APART = "\ufdd0"
+
+
+def matched(rule: Rule, raw: Column) -> Column:
+    """Array of one empty piece, the layout's groups and the rest; of another size where the text does not match."""
     pattern, parts = layout_pattern(rule)
     text = prepare(raw, rule.pre)
-    ok = text.rlike(pattern)
-    columns, kinds, used, left_at = [], {}, set(), len(parts) + 1
-    for k, p in enumerate(parts, 1):
-        value = F.nullif(F.regexp_extract(text, pattern, k), F.lit(""))
-        name = p.key or p.name
-        if p.kind == "kv":
-            value = F.regexp_replace(value, r"^[^=]*=\s*", "") if p.key else key_values(value, " " if p.times != 1 else "\n")
-            kinds[name] = "chars" if p.key else "obj"
-        elif p.kind == "kvarr":
-            value = key_value_array(value)
-            kinds[name] = "obj"
-        else:
-            for check in p.checks:
-                if check[0] in _CHANGES:
-                    value = _CHANGES[check[0]](value, check[1])
-                else:
-                    ok = ok & _check(value, check)
-            value = typed(value, p.kind)
-            kinds[name] = _KINDS.get(p.kind, "chars")
+    pieces = "".join(f"{_APART}${k}" for k in range(1, len(parts) + 2))
+    found = F.split(F.regexp_replace(text, pattern, pieces), _APART, -1)
+    return F.when(~F.contains(text, F.lit(_APART)), found)
+
+
+def _sub_fields(p: Part, value: Column, separator: str) -> list[tuple[Sub, Column]]:
+    """Texts of a part's declared sub-fields."""
+    if p.kind == "json":
+        path = lambda key: "$." + ".".join(f"['{x}']" for x in key.split("/")) if "/" in key else f"$['{key}']"
+        return [(x, F.get_json_object(value, path(x.key).replace(".[", "["))) for x in p.subs if x.kind != "_"]
+    if p.kind == "kv" and p.times == 1 and len(p.subs) == 1:
+        return [(p.subs[0], F.regexp_replace(F.regexp_replace(value, r"^[^=:]*[=:]\s*", ""), '^"|"$', ""))]
+    return [(x, F.try_element_at(value, F.lit(x.key))) for x in p.subs if x.kind != "_"]
+
+
+def typed_fields(rule: Rule, pieces: Column) -> tuple[Column, dict[str, Field]]:
+    """(struct of the fields and ``left`` from the matched pieces, or NULL; the fields' types)."""
+    _, parts = layout_pattern(rule)
+    ok = F.coalesce(F.size(pieces) == len(parts) + 2, F.lit(False))
+    columns, kinds, used = [], {}, set()
+
+    def keep(name: str, value: Column, kind: str) -> None:
         n, base = 0, name
         while name in used:
             n += 1
             name = f"{base}[{n}]"
-        kinds[name] = kinds[base]
         used.add(name)
+        kinds[name] = kind
         columns.append(value.alias(name))
+
+    for k, (p, separator) in enumerate(parts, 1):
+        value = F.nullif(F.get(pieces, F.lit(k)), F.lit(""))
+        if p.kind in ("kv", "kvarr", "json"):
+            pair = separator if len(separator) == 1 else " "
+            if p.kind == "kvarr":
+                value = key_value_array(value)
+            elif p.kind == "kv" and not (p.times == 1 and len(p.subs) == 1):
+                value = key_values(value, pair, "=:")
+            for sub, text in _sub_fields(p, value, separator):
+                changed = typed(text, sub.kind)
+                if sub.kind in ("digit", "float", "bool", "http/status", "time", "time/clf"):
+                    ok = ok & (text.isNull() | changed.isNotNull())
+                keep(sub.name, changed, _KINDS.get(sub.kind, "chars"))
+            if p.kind == "json" and p.subs or p.kind == "kv" and p.times == 1 and len(p.subs) == 1:
+                continue
+            if p.kind != "json" and p.subs:
+                value = _without(value, [x.key for x in p.subs])
+            keep(p.name, value, "json" if p.kind == "json" else "obj")
+            continue
+        for check in p.checks:
+            if check[0] in _CHANGES:
+                value = _CHANGES[check[0]](value, check[1])
+            else:
+                ok = ok & _check(value, check)
+        keep(p.name, typed(value, p.kind), _KINDS.get(p.kind, "chars"))
     columns += [F.lit(v).alias(k) for k, v in rule.annotations.items() if k not in used]
-    left = F.regexp_extract(text, pattern, left_at)
-    return F.when(ok, F.struct(*columns, left.alias("left"))), {k: Field(F.col(k), v) for k, v in kinds.items()}
+    left = F.get(pieces, F.lit(len(parts) + 1))
+    return F.when(ok, F.struct(*columns, left.alias("left"))), {k: Field(F.col(f"`{k}`"), v) for k, v in kinds.items()}
+
+
+def _without(value: Column, keys: list[str]) -> Column:
+    return F.map_filter(value, lambda key, _: ~key.isin(*keys))
+
+
+def enrichments(rule: Rule) -> list[tuple[str, str, str]]:
+    """(field, table, column) of the sub-fields that ask for an enrichment, as ``@ip +geo(city)``."""
+    return [(x.name, *x.enrich) for g in rule.groups for p in g.parts for x in p.subs if x.enrich]
+
+
+def compile_rule(rule: Rule, raw: Column) -> tuple[Column, dict[str, Field]]:
+    """Both steps over a raw column; dispatch keeps the pieces in a projection of their own."""
+    return typed_fields(rule, matched(rule, raw))
