@@ -141,7 +141,7 @@ _filter("filter_expect_false", "events", "event_id", "$event_type == chars(click
 _GROUP = routing.Group("g", ("/web/*",), sinks=[routing.Sink("errors", "$event_type == chars(error)", tags={"level": "high"}), routing.Sink("paid", "$event_type == chars(purchase) || $value > float(90.0)"), routing.Sink("all")], tags={"env": "test"})
 _add("route_fanout", lambda s, d: routing.deliveries(_table(s, d, "events"), _GROUP).select("event_id", "sink"), "select event_id, 'errors' sink from events where event_type='error' union all select event_id, 'paid' from events where event_type='purchase' or value>90 union all select event_id, 'all' from events")
 _add("tags_merge", lambda s, d: routing.fan_out(_table(s, d, "events"), _GROUP, {"env": "prod", "app": "x"})["errors"].select("event_id", "app", "env", "level"), "select event_id, 'x' app, 'test' env, 'high' as level from events where event_type='error'")
-_add("route_error", lambda s, d: routing.error_records(apply_model(_table(s, d, "events"), "name : t\n---\nx = pipe read(event_type) | starts_with('c');"), rule="/web/r", group="g", model="t", source_fields=6).groupBy("__err_kind", "__oml_model").count().withColumnRenamed("count", "n"), "select 'empty_output' __err_kind, 't' __oml_model, count(*) n from events where event_type is null or event_type not like 'c%' having count(*) > 0")
+_add("route_error", lambda s, d: routing.error_records(apply_model(_table(s, d, "events"), "name : t\n---\nx = pipe read(event_type) | starts_with('c');"), rule="/web/r", group="g", model="t", source_fields=6).groupBy("__err_kind", "__oml_model").count().withColumnRenamed("count", "n"), "select 'oml_transform_empty' __err_kind, 't' __oml_model, count(*) n from events where event_type is null or event_type not like 'c%' having count(*) > 0")
 
 _RULES = r"""
 package /web {

@@ -41,6 +41,14 @@ class Dictionary:
         return cls(bool(config.get("enabled", True)), **{k: w if replace else w | getattr(base, k) for k, w in words.items()})
 
 
+def load_dictionary(path: str) -> Dictionary:
+    """A dictionary from a TOML file with version, mode, enabled and word lists, on the driver."""
+    import tomllib
+
+    with open(path, "rb") as f:
+        return Dictionary.of(tomllib.load(f))
+
+
 def _stem(word: str) -> str:
     for end, least in (("ing", 4), ("ed", 3)):
         if word.endswith(end) and len(word) > least:
@@ -86,7 +94,7 @@ def parts(text: str, d: Dictionary) -> dict[str, str]:
                 slot = "object"
             if not out[slot]:
                 out[slot] = word
-    if out["subject"] == "" and out["object"] and not out["action"]:
+    if out["subject"] == "" and out["object"]:
         out["subject"], out["object"] = out["object"], ""
     return out
 

@@ -112,7 +112,7 @@ def deliveries(df: DataFrame, group: Group, kinds: dict[str, str] | None = None)
     return df.select("*", F.explode(F.filter(F.array(*hits), lambda x: x.isNotNull())).alias("sink"))
 
 
-def error_records(transformed: DataFrame, *, rule: str, group: str, model: str, source_fields: int, kind: str = "empty_output") -> DataFrame:
+def error_records(transformed: DataFrame, *, rule: str, group: str, model: str, source_fields: int, kind: str = "oml_transform_empty") -> DataFrame:
     """Rows whose transform left nothing, as records of the error sink."""
     columns = transformed.columns
     empty = F.lit(True)

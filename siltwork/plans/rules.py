@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -110,6 +110,37 @@ def parse_rules(text: str, package: str = "") -> list[Rule]:
     return rules
 
 
+def split_rules(text: str) -> list[tuple[str, str]]:
+    """(package, text of one rule) of each rule, so that a bad one can be skipped alone."""
+    out, package, at = [], "", 0
+    head = re.compile(r"(?:\s+|//[^\n]*|#(?!\[)[^\n]*|\})*(?:package\s+([\w/.-]+)\s*\{)?")
+    while at < len(text):
+        found = head.match(text, at)
+        if found[1] or "}" in re.sub(r"//[^\n]*|#[^\n]*", "", found[0]):
+            package = found[1] or ""
+        begin = found.end()
+        if begin >= len(text):
+            break
+        if found.end() == at and found[1] is None and "{" not in text[at:]:
+            out.append((package, text[at:]))
+            break
+        depth, k = 0, begin
+        while k < len(text):
+            c = text[k]
+            if c == "\\":
+                k += 1
+            elif c == "{":
+                depth += 1
+            elif c == "}":
+                depth -= 1
+                if depth == 0:
+                    break
+            k += 1
+        out.append((package, text[begin : k + 1]))
+        at = k + 1
+    return out
+
+
 def _rule(s: Scanner, package: str) -> Rule:
     notes = {}
     while s.take(r"#\["):
@@ -122,9 +153,9 @@ def _rule(s: Scanner, package: str) -> Rule:
     while not s.take(r"\}"):
         mode = s.take(r"(alt|opt|not|seq)\b")
         s.need(r"\(", "a group")
-        parts = [_part(s)]
+        parts = _repeated(_part(s))
         while s.take(",") or (parts[-1].separator is not None and not s.peek(r"\)")):
-            parts.append(_part(s))
+            parts += _repeated(_part(s))
         s.need(r"\)", ")")
         rule.groups.append(Group(mode[1] if mode else "seq", tuple(parts), _separator(s) or " "))
         s.take(",")
@@ -142,6 +173,22 @@ def _separator(s: Scanner) -> str | None:
     return {"t": "\t", "s": " ", "S": "\0[ ]+"}.get(found[1], found[1])
 
 
+def _repeated(p: Part) -> list[Part]:
+    """``2*digit`` is two fields, the later ones named ``digit[1]``...; pairs and ignored fields stay together."""
+    return [p] if p.times is None or p.kind in ("_", "kv") else [replace(p, times=1)] * p.times
+
+
+def _call(s: Scanner) -> tuple:
+    """(name, arguments) of a field function; ``not(...)`` has a call as its argument."""
+    name = s.need(r"!?[a-z_0-9]+", "a field function")[0]
+    if name == "not":
+        s.need(r"\(")
+        inner = _call(s)
+        s.need(r"\)")
+        return name, inner
+    return name, tuple(x.strip().strip("'\"") for x in s.need(r"\(([^()]*)\)")[1].split(",")) if s.peek(r"\(") else ()
+
+
 def _sub(text: str) -> Sub:
     found = re.fullmatch(rf"({_TYPE})?\s*@([^\s:+]+)(?::([\w./-]+))?\s*(?:\+(\w+)\((\w+)\))?", text)
     if not found or (found[1] and found[1] != "_" and found[1] not in _VALUES and found[1] not in _FREE):
@@ -175,7 +222,7 @@ def _part(s: Scanner) -> Part:
     separator = _separator(s)
     checks = []
     while s.take(r"\|(?!\|)"):
-        checks.append((s.need(r"!?[a-z_]+")[0], tuple(x.strip().strip("'\"") for x in s.need(r"\(([^()]*)\)")[1].split(",")) if s.peek(r"\(") else ()))
+        checks.append(_call(s))
     del length
     return Part(kind, name[1] if name else kind, opened, closed, separator, literal, subs, (int(times[1]) if times and times[1] else None if times else 1), tuple(checks))
 
@@ -320,8 +367,10 @@ def prepare(raw: Column, steps: tuple[str, ...]) -> Column:
 
 def _check(column: Column, check: tuple) -> Column:
     name, args = check
-    if name == "not" or name.startswith("!"):
-        return ~_check(column, (name.lstrip("!"), args))
+    if name == "not":
+        return ~_check(column, args)
+    if name.startswith("!"):
+        return ~_check(column, (name[1:], args))
     if name in ("chars_has", "f_chars_has"):
         return F.coalesce(column == args[-1], F.lit(False))
     if name in ("chars_not_has", "f_chars_not_has"):

@@ -10,7 +10,7 @@ class SyntaxProblem(ValueError):
 
 
 class Scanner:
-    def __init__(self, text: str, comments: str | None = r"//[^\n]*|#[^\n]*"):
+    def __init__(self, text: str, comments: str | None = r"//[^\n]*|#(?!\[)[^\n]*"):
         self.text, self.at = text, 0
         self._skip = re.compile(rf"(?:\s+{'|' + comments if comments else ''})*")
 

@@ -43,6 +43,7 @@ def read_files(spark: SparkSession, base: str, file: str, *, encode: str = "text
     if on_error == "raise" and encode != "text":
         raw = F.coalesce(raw, F.when(line.isNotNull(), F.raise_error(F.concat(F.lit("line is not valid " + encode + ": "), F.substring(line, 1, 80))).cast("string")))
     where = F.col("_metadata.file_path")
+    # a stream can't number lines before its batches are made; the engine tells equal lines apart there
     place = F.xxhash64(where, F.col("_metadata.file_block_start"), "value") if stream else F.xxhash64(where, F.monotonically_increasing_id())
     return lines.select(place.alias("event_id"), F.lit(key).alias("src_key"), raw.alias("raw"), F.create_map(F.lit("access_source"), where).alias("tags"))
 
@@ -74,12 +75,21 @@ def write_rescue(rows: DataFrame, folder: str, sink: str, raw: str | None = None
 
 
 def read_rescue(spark: SparkSession, folder: str, sink: str, schema: str | None = None) -> DataFrame:
-    """Payloads of a sink's rescue files, newest file first in ``order``; records parsed where a schema is given."""
-    lines = spark.read.text(f"{folder}/{sink}").select(F.from_json("value", RESCUE_SCHEMA).alias("e"), F.col("_metadata.file_modification_time").alias("at"))
-    rows = lines.where("e.version = 1").select("e.kind", "e.payload", "at")
+    """Payloads of a sink's rescue files, with the file and its time in ``at``; records parsed where a schema is given."""
+    lines = spark.read.text(f"{folder}/{sink}").select(F.from_json("value", RESCUE_SCHEMA).alias("e"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_modification_time").alias("at"))
+    rows = lines.where("e.version = 1").select("e.kind", "e.payload", "file", "at")
     return rows.select("*", F.from_json("payload", schema).alias("record")) if schema else rows
 
 
+def recovered(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """(file): rescue files that the checkpoint folder names as sent; none where there is no folder yet."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(checkpoint)
+    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+        return spark.createDataFrame([], "file string")
+    return spark.read.text(checkpoint).select(F.col("value").alias("file"))
+
+
 def rescue_statistics(spark: SparkSession, folder: str) -> DataFrame:
     """Files, lines and bytes per sink."""
     sized = spark.read.text(f"{folder}/*").select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2).alias("sink"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size"), "value")
