@@ -318,7 +318,8 @@ def redact(docs: DataFrame, **options) -> DataFrame:
     more = discover(kept, scratch, **options)
     every = _with_more(kept.dropDuplicates(["doc_id", "h"]), more).select(F.col("doc_id").alias("of_id"), F.col("h").alias("of_h"), F.sort_array(F.concat(*[_tagged(_all_of(k, F.col(f"found.{k}")), k) for k in KINDS])).alias("spans"))
     every = scratch.save("every", every.where("size(spans) > 0"))
-    joined = wide.join(every, (wide["h"] == every["of_h"]) & wide["doc_id"].eqNullSafe(every["of_id"]), "left")
+    # a merge join at every size: the documents with spans may be any share of all
+    joined = wide.join(every.hint("merge"), (wide["h"] == every["of_h"]) & wide["doc_id"].eqNullSafe(every["of_id"]), "left")
     new = F.when(F.size("spans") > 0, _masked(F.col("text"), F.col("spans"))).otherwise(F.col("own.text"))
     out = joined.select("own", new.alias("new"))
     columns = []
