@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from siltwork.operators import routing, stats
 from siltwork.operators.dispatch import dispatch
 from siltwork.plans.conditions import compile_condition
-from siltwork.plans.model import apply_model
+from siltwork.plans.model import Compiler, apply_model, parse_model
 from siltwork.sources import files, reference, sinks
 from siltwork.streaming.engine import Engine
 
@@ -189,6 +189,16 @@ _format("sink_proto_text", "proto-text", f"'event_id: '||event_id||' kind: \"'||
 _format("sink_show", "show", f"'event_id(digit) = '||event_id||chr(10)||'kind(chars) = '||{_K}")
 
 
+def _arrow_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = _folder(spark)
+    sinks.write_arrow_files(_events(spark, sf_dir).select("event_id", "event_type", "value"), base).agg(F.sum("rows")).collect()
+    return sinks.read_arrow_files(spark, base, "event_id long, event_type string, value double")
+
+
+_add("sink_arrow_file", _arrow_files, "select event_id, event_type, value from events")
+_add("sink_syslog", lambda s, d: sinks.syslog_lines(_events(s, d).select("event_id"), "raw", facility=2, severity=3).select(F.regexp_replace("value", "^(<[0-9]+>)[A-Z][a-z]{2} +[0-9]+ [0-9:]{8} ", "$1").alias("line")), "select '<19>siltwork siltwork: '||event_id line from events")
+
+
 def _reference(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = _folder(spark)
     nations = spark.read.parquet(f"{sf_dir}/nation.parquet")
@@ -209,6 +219,17 @@ _add("wildcard_numbers", lambda s, d: (lambda rows: rows.where(compile_condition
 _add("stat_records", lambda s, d: stats.record_form(stats.measures(_events(s, d), stats.StatItem("parse", "by_kind", "item", ("event_type",), 2), F.lit(True), "ts")).select("event_type", "total", F.round("speed", 9).alias("speed")), "select event_type, count(*) total, round(count(*)*1000.0::double/(datediff('millisecond', min(ts), max(ts))+1)/10000, 9) speed from events group by 1")
 
 
+_DIAG = "name : t\n---\nevent_id = read(); a = read(absent); n : digit = read(mixed); c = calc(read(event_id) / (read(event_id) % 2)); f = fmt('{odd}', @odd); none* = take();"
+
+
+def _diagnosed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _events(spark, sf_dir).selectExpr("event_id", "if(event_id % 3 = 0, 'x', '5') mixed", "if(event_id % 2 = 0, null, 'y') odd")
+    return Compiler(parse_model(_DIAG), diagnostics=True).apply(rows).select("event_id", F.array_join("__diag", ";").alias("issues"))
+
+
+_add("diagnostics", _diagnosed, "select event_id, 'missing_field: absent'||case when event_id%3=0 then ';parse_fail: n' else '' end||case when event_id%2=0 then ';math_eval_fail: c;fmt_var_missing: odd' else '' end||';batch_no_match: none*' issues from events")
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

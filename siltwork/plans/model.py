@@ -478,8 +478,11 @@ class Scope:
 
 
 class Compiler:
-    def __init__(self, model: Model, tables: dict[str, DataFrame] | None = None, dictionary: words.Dictionary | None = None):
+    """``diagnostics`` adds ``__diag``: what went wrong in a record, as ``missing_field: name`` and the like."""
+
+    def __init__(self, model: Model, tables: dict[str, DataFrame] | None = None, dictionary: words.Dictionary | None = None, diagnostics: bool = False):
         self.model, self.tables, self.dictionary = model, tables or {}, dictionary
+        self.diagnostics, self.issues = diagnostics, []
 
     def apply(self, df: DataFrame, kinds: dict[str, str] | None = None) -> DataFrame:
         """The model's output columns for every row of ``df``; kinds give types that Spark does not have, such as ip."""
@@ -495,8 +498,30 @@ class Compiler:
                 continue
             self._statement(scope, item)
         out = [f.column.alias(n) for n, f in scope.made.items() if not n.startswith("__")]
+        if self.diagnostics:
+            issues = self.issues or [F.lit(None).cast("string")]
+            out.append(F.filter(F.array(*issues), lambda x: x.isNotNull()).alias("__diag"))
         return df.select(*out)
 
+    def _note(self, kind: str, detail: str, test: Column | None = None) -> None:
+        """An issue of every record, or of those that pass the test."""
+        text = F.lit(f"{kind}: {detail}")
+        self.issues.append(text if test is None else F.when(test, text))
+
+    def _diagnose(self, item: Assign, value: Field | None, made: Field | None) -> None:
+        node, target = item.value, item.targets[0]
+        source = node.source if isinstance(node, Pipe) else node
+        if isinstance(source, Access):
+            name = None if source.keys or source.option or source.default is not None else source.name or target
+            if name is not None and value is None:
+                self._note("missing_field", name)
+            elif name is not None and isinstance(node, Access):
+                self._note("missing_field", name, value.column.isNull())
+        elif isinstance(node, Calc) and value is not None:
+            self._note("math_eval_fail", target, value.column.isNull())
+        if value is not None and made is not None and item.kind not in ("auto", value.kind):
+            self._note("parse_fail", target, value.column.isNotNull() & made.column.isNull())
+
     @staticmethod
     def _leaf(f: T.StructField, kind: str | None) -> Field:
         known = kind or kind_of(f.dataType)
@@ -504,16 +529,22 @@ class Compiler:
 
     def _statement(self, scope: Scope, item: Assign) -> None:
         if "*" in item.targets[0] and isinstance(item.value, Access):
+            before = len(scope.made)
             for name, f in list(scope.source.items()):
                 glob = fnmatch.fnmatchcase(name, item.targets[0])
                 if (glob and item.kind == "auto") or (item.kind != "auto" and f.kind == item.kind):
                     if name not in scope.made:
                         scope.put(name, f)
                     scope.source.pop(name, None)
+            if len(scope.made) == before:
+                self._note("batch_no_match", item.targets[0])
             return
         value = self._eval(scope, item.value, item.targets[0])
-        if value is not None:
-            scope.put(item.targets[0], convert(value, item.kind))
+        made = None if value is None else convert(value, item.kind)
+        if self.diagnostics:
+            self._diagnose(item, value, made)
+        if made is not None:
+            scope.put(item.targets[0], made)
 
     def _eval(self, scope: Scope, node, target: str) -> Field | None:
         if isinstance(node, Static):
@@ -590,6 +621,7 @@ class Compiler:
         for arg in node.args:
             f = self._access(scope, arg, arg.name or "")
             fields[arg.name] = as_text(f) if f is not None else F.lit(None).cast("string")
+            self._note("fmt_var_missing", arg.name or "", fields[arg.name].isNull())
         parts = []
         for text, name in re.findall(r"([^{}]+)|\{([^{}]*)\}", node.template):
             parts.append(F.lit(text) if text else fields.get(name, F.lit(None).cast("string")))

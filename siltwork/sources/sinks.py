@@ -41,8 +41,9 @@ def write_file(df: DataFrame, path: str, fmt: str = "json", mode: str = "append"
     formatted(df, fmt).write.mode(mode).text(path)
 
 
-def blackhole(df: DataFrame) -> None:
+def blackhole(df: DataFrame, sleep_ms: int = 0) -> None:
     df.write.format("noop").mode("append").save()
+    time.sleep(sleep_ms / 1000)
 
 
 def write_arrow_files(df: DataFrame, folder: str) -> DataFrame:
@@ -67,6 +68,50 @@ def write_arrow_files(df: DataFrame, folder: str) -> DataFrame:
     return df.mapInArrow(run, "file string, rows long")
 
 
+def read_arrow_files(spark, folder: str, schema: str) -> DataFrame:
+    """Records of the Arrow files in a folder; each file is read by one task."""
+
+    def run(batches):
+        for whole in batches:
+            for content in whole.column(0):
+                yield from read_arrow_frames(content.as_buffer())
+
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.arrow").load(folder).select("content").mapInArrow(run, schema)
+
+
+def write_arrow_network(df: DataFrame, host: str, port: int, *, first_wait: float = 1.0, last_wait: float = 30.0) -> DataFrame:
+    """Send record batches over TCP as ``[4-byte big-endian length][IPC]``; gives rows (sent, dropped) per task.
+
+    Nothing waits for a receiver: batches are dropped while there is no connection, and a new one is
+    tried after doubling waits.
+    """
+    import pyarrow as pa
+
+    def run(batches):
+        connection, wait, after = None, first_wait, 0.0
+        sent = dropped = 0
+        for batch in batches:
+            if connection is None and time.monotonic() >= after:
+                try:
+                    connection = socket.create_connection((host, port), timeout=10)
+                    wait = first_wait
+                except OSError:
+                    after, wait = time.monotonic() + wait, min(last_wait, wait * 2)
+            try:
+                if connection is None:
+                    raise ConnectionError
+                connection.sendall(arrow_frame(batch))
+                sent += batch.num_rows
+            except OSError:
+                connection = None
+                dropped += batch.num_rows
+        if connection is not None:
+            connection.close()
+        yield pa.RecordBatch.from_arrays([pa.array([sent], pa.int64()), pa.array([dropped], pa.int64())], names=["sent", "dropped"])
+
+    return df.mapInArrow(run, "sent long, dropped long")
+
+
 def arrow_frame(batch) -> bytes:
     import pyarrow as pa
 
