@@ -52,7 +52,8 @@ def frames(buffer: bytes, framing: str = "auto", final: bool = False) -> tuple[l
 class _Reader(SimpleDataSourceStreamReader):
     """Receives on the driver for ``wait_ms`` per batch; offsets count received events.
 
-    The network does not replay: batches that were handed out are kept until they are committed.
+    The network does not replay: batches that were handed out are kept until they are committed.  While
+    ``kept_bytes`` are held nothing more is received, so that TCP senders wait; UDP datagrams are lost.
     """
 
     def __init__(self, options: dict):
@@ -60,6 +61,7 @@ class _Reader(SimpleDataSourceStreamReader):
         self.wait = float(options.get("wait_ms", "200")) / 1000
         self.protocol = options.get("protocol", "tcp")
         self.address = (options.get("addr", "127.0.0.1"), int(options["port"]))
+        self.most, self.held = int(options.get("kept_bytes", str(64 << 20))), 0
         self.kept: list[tuple[int, tuple]] = []
         self.next = 0
         self.sock, self.peers = None, {}
@@ -77,11 +79,13 @@ class _Reader(SimpleDataSourceStreamReader):
         if self.sock is None:
             self._listen()
         out, until = [], time.monotonic() + self.wait
-        while time.monotonic() < until:
+        taken = 0
+        while time.monotonic() < until and self.held + taken < self.most:
             idle = True
             try:
                 if self.protocol == "udp":
                     data, peer = self.sock.recvfrom(65_535)
+                    taken += len(data)
                     out += [(line.decode("utf-8", "replace"), peer[0]) for line in frames(data, "line", final=True)[0]]
                     idle = False
                 else:
@@ -97,6 +101,7 @@ class _Reader(SimpleDataSourceStreamReader):
                 except BlockingIOError:
                     continue
                 idle = False
+                taken += len(data)
                 found, rest = frames(rest + data, self.framing, final=not data)
                 out += [(f.decode("utf-8", "replace"), ip) for f in found]
                 if data:
@@ -114,6 +119,7 @@ class _Reader(SimpleDataSourceStreamReader):
     def read(self, start: dict):
         for row in self._receive():
             self.kept.append((self.next, row))
+            self.held += len(row[0])
             self.next += 1
         self.next = max(self.next, start["n"])
         return iter([(i, *row) for i, row in self.kept if i >= start["n"]]), {"n": self.next}
@@ -123,6 +129,7 @@ class _Reader(SimpleDataSourceStreamReader):
 
     def commit(self, end: dict) -> None:
         self.kept = [x for x in self.kept if x[0] >= end["n"]]
+        self.held = sum(len(row[0]) for _, row in self.kept)
 
 
 class NetworkSource(DataSource):
@@ -137,9 +144,9 @@ class NetworkSource(DataSource):
         return _Reader(self.options)
 
 
-def read_network(spark: SparkSession, port: int, *, addr: str = "127.0.0.1", protocol: str = "tcp", framing: str = "auto"):
+def read_network(spark: SparkSession, port: int, *, addr: str = "127.0.0.1", protocol: str = "tcp", framing: str = "auto", kept_bytes: int = 64 << 20):
     spark.dataSource.register(NetworkSource)
-    return spark.readStream.format("siltwork_network").options(addr=addr, port=str(port), protocol=protocol, framing=framing).load()
+    return spark.readStream.format("siltwork_network").options(addr=addr, port=str(port), protocol=protocol, framing=framing, kept_bytes=str(kept_bytes)).load()
 
 
 def read_kafka(spark: SparkSession, brokers: str, topic: str, **options):

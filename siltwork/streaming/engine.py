@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
@@ -146,8 +147,24 @@ class Engine:
         return query.trigger(**(trigger or {"availableNow": True})).start()
 
 
-def file_writer(folder: str, fmt: str = "json") -> Writer:
-    return lambda name, rows: write_file(rows, f"{folder}/{name}", fmt)
+def reload(engine: Engine, query, events: DataFrame, write: Writer, checkpoint: str, rescue: str | None = None, *, wait: float = 60.0, trigger: dict | None = None, **changes):
+    """(engine, query) with other rules, models or groups on the same checkpoint.
+
+    The new engine is made first, so that a mistake in debug mode leaves the old query running; then
+    the batch in progress ends, at most ``wait`` seconds on, and the new query goes on where it stopped.
+    """
+    made = replace(engine, **changes)
+    until = time.monotonic() + wait
+    while query.isActive and query.status["isTriggerActive"] and time.monotonic() < until:
+        time.sleep(0.05)
+    query.stop()
+    return made, made.stream(events, write, checkpoint, rescue, **(trigger or {}))
+
+
+def file_writer(folder: str, fmt: str = "json", groups: tuple[Group, ...] | list[Group] = ()) -> Writer:
+    """Files of each sink under its name, in the format that its group gives it, or in ``fmt``."""
+    formats = {f"{g.name}/{s.name}": s.fmt for g in groups for s in g.sinks}
+    return lambda name, rows: write_file(rows, f"{folder}/{name}", formats.get(name, fmt))
 
 
 def blackhole_writer(_: str, rows: DataFrame) -> None:
