@@ -19,7 +19,10 @@ def _state(edges: DataFrame) -> tuple:
 
 
 def components(edges: DataFrame, scratch: Scratch, *, name: str = "components", max_rounds: int = 60) -> DataFrame:
-    """(node, component): the smallest node reachable; only nodes with an edge are in it."""
+    """(node, component): the smallest node reachable; only nodes with an edge are in it.
+
+    Rounds grow with the logarithm of the longest path; more than ``max_rounds`` raise, and drop nothing.
+    """
     one = F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")
     now = scratch.save(f"{name}-0", edges.where("u is not null and v is not null and u <> v").select(*one).distinct())
     last = f"{name}-0"

@@ -1,16 +1,17 @@
 """Quality filtering by importance resampling with hashed n-gram models and Gumbel top-k.
 
 Two generative models over hashed n-grams: the target, from at most ``max_labelled`` documents
-labelled good (smallest hash of the id first), and the raw text, from all documents.  A document's
-log weight is the sum of its n-grams' log ratios.  Adding Gumbel noise, which is a hash of the row,
-and keeping the k largest sums draws k documents without replacement in proportion to the weights.
-k is the expected number of good documents: the weights of the labelled sample calibrate a
-probability, and its sum over all documents is k.
+labelled good (smallest hash of the id first), and the raw text, from all documents.  A document's log ratio is
+the sum over its n-grams; set against its length it is calibrated to log odds of being good on the
+labelled sample, each eighth of which is weighed by a target model of the others, so that no document
+vouches for itself.  The odds are the importance weights: adding Gumbel noise, which is a hash of the
+row, to their logarithms and keeping the k largest sums draws k documents without replacement in
+proportion to them.  k is the expected number of good documents, the sum of their probabilities.
 
 N-grams are words, pairs of words, and pairs of word shapes with a mark for repetition.  The k-th
 largest key comes from repeated histograms on the cluster; only bin counts reach the driver.
 
-Defined cases: null text is empty, weighs 0 and is decided by its noise; ties with the k-th key are
+Defined cases: null text is empty, has the log odds of a ratio of 0, and is then decided by its noise; ties with the k-th key are
 kept, so repeated rows share one fate; without labels of both kinds everything is kept; an empty
 table stays empty; other columns pass through the filter.
 """
@@ -41,7 +42,7 @@ def _shape(run: str) -> bytes:
         if c != last:
             out.append(c)
             last = c
-    return xxhash.xxh3_64_digest("".join(out[:6]).encode("utf-8", "surrogatepass"))
+    return xxhash.xxh3_64_digest("".join(out).encode("utf-8", "surrogatepass"))
 
 
 def _code(run: str) -> bytes:
@@ -77,31 +78,60 @@ class Weights:
     def document(self, found: np.ndarray) -> float:
         return float(self.ratio[found].sum()) if len(found) else 0.0
 
-    def probability(self, weight: np.ndarray, size: np.ndarray) -> np.ndarray:
+    def log_odds(self, weight: np.ndarray, size: np.ndarray) -> np.ndarray:
         a, b, c = self.calibration
-        return 1 / (1 + np.exp(-np.clip(a * weight / np.sqrt(size + 1) + b * weight / (size + 1) + c, -50, 50)))
+        return np.clip(a * weight / np.sqrt(size + 1) + b * weight / (size + 1) + c, -50, 50)
 
 
-def _counts(docs: DataFrame, wanted: str | None = None) -> np.ndarray:
-    """Bucket counts over all rows: each task adds up its own, Spark adds the tasks'."""
-    schema = pa.schema([("bucket", pa.int32()), ("n", pa.int64())])
+FOLDS = 8
+
+
+def _counts(docs: DataFrame) -> np.ndarray:
+    """Bucket counts per fold over all rows (fold, text): each task adds up its own, Spark adds the tasks'."""
+    schema = pa.schema([("fold", pa.int32()), ("bucket", pa.int32()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, total = _cache(), np.zeros(BUCKETS, np.int64)
+        cache, total = _cache(), np.zeros((FOLDS, BUCKETS), np.int64)
         for batch in batches:
-            texts = batch.column(0).to_pylist()
+            folds, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for part in parts(map(len, texts), 1_000_000):
-                for raw in cache.join([t.split() for t in texts[part]]):
-                    total += np.bincount(grams(raw), minlength=BUCKETS)
-        some = np.flatnonzero(total)
-        yield record(schema, {"bucket": some.astype(np.int32), "n": total[some]})
-
-    rows = docs.select(text_or_empty("text").alias("text")).mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-    total = np.zeros(BUCKETS, np.int64)
-    total[rows.column("bucket").to_numpy()] = rows.column("n").to_numpy()
+                for fold, raw in zip(folds[part], cache.join([t.split() for t in texts[part]])):
+                    total[fold] += np.bincount(grams(raw), minlength=BUCKETS)
+        fold, some = np.nonzero(total)
+        yield record(schema, {"fold": fold.astype(np.int32), "bucket": some.astype(np.int32), "n": total[fold, some]})
+
+    rows = docs.mapInArrow(run, "fold int, bucket int, n long").groupBy("fold", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    total = np.zeros((FOLDS, BUCKETS), np.int64)
+    total[rows.column("fold").to_numpy(), rows.column("bucket").to_numpy()] = rows.column("n").to_numpy()
     return total
 
 
+def log_ratio(target: np.ndarray, raw: np.ndarray, smoothing: float = 1.0) -> np.ndarray:
+    """Log ratio of the two models' probabilities per bucket, the target smoothed towards the raw text."""
+    prior = smoothing * BUCKETS * 0.01
+    return np.log((target + prior * raw / max(1, raw.sum()) + 1e-3) / (target.sum() + prior + 1e-3 * BUCKETS)) - np.log((raw + 1e-3) / (raw.sum() + 1e-3 * BUCKETS))
+
+
+def _cross_weights(sample: DataFrame, ratios: np.ndarray):
+    """(quality, log_weight, n_grams) of the sample (fold, quality, text), each fold by a ratio of its own."""
+    shared = sample.sparkSession.sparkContext.broadcast(ratios)
+    schema = pa.schema([("quality", pa.int32()), ("log_weight", pa.float64()), ("n_grams", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache, models = _cache(), [Weights(r) for r in shared.value]
+        for batch in batches:
+            folds, texts = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+            weights, sizes = [], []
+            for part in parts(map(len, texts), 1_000_000):
+                for fold, raw in zip(folds[part], cache.join([t.split() for t in texts[part]])):
+                    found = grams(raw)
+                    weights.append(models[fold].document(found))
+                    sizes.append(len(found))
+            yield record(schema, {"quality": batch.column(1), "log_weight": weights, "n_grams": sizes})
+
+    return sample.mapInArrow(run, "quality int, log_weight double, n_grams long").toArrow()
+
+
 def fit(docs: DataFrame, labels: DataFrame, *, max_labelled: int = 20_000, smoothing: float = 1.0) -> Weights | None:
     """Models of both sides and the calibration; None without labels of both kinds."""
     spark = docs.sparkSession
@@ -109,14 +139,16 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_labelled: int = 20_000, smoot
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
     scratch = Scratch(spark, "quality")
     sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty("text").alias("text")).join(F.broadcast(chosen), "doc_id")
-    sample = scratch.save("sample", sample.select("doc_id", "quality", "text"))
+    fold = F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)).cast("int").alias("fold")
+    sample = scratch.save("sample", sample.select(fold, "quality", "text"))
     kinds = {r.quality for r in sample.select("quality").distinct().collect()}
     if not {0, 1} <= kinds:
         return None
-    target, raw = _counts(sample.where("quality = 1")), _counts(docs)
-    ratio = np.log((target + smoothing * raw / max(1, raw.sum()) * BUCKETS * 0.01 + 1e-3) / (target.sum() + smoothing * BUCKETS * 0.01 + 1e-3 * BUCKETS)) - np.log((raw + 1e-3) / (raw.sum() + 1e-3 * BUCKETS))
-    weights = Weights(ratio)
-    rows = _weigh(sample, weights, "quality").select("quality", "log_weight", "n_grams").toArrow()
+    targets = _counts(sample.where("quality = 1").select("fold", "text"))
+    raw = _counts(docs.select(F.lit(0).alias("fold"), text_or_empty("text").alias("text"))).sum(0)
+    target = targets.sum(0)
+    weights = Weights(log_ratio(target, raw, smoothing))
+    rows = _cross_weights(sample, np.stack([log_ratio(target - t, raw, smoothing) for t in targets]))
     weights.calibration = _calibrate(rows.column("log_weight").to_numpy(), rows.column("n_grams").to_numpy(), rows.column("quality").to_numpy())
     scratch.drop("sample")
     return weights
@@ -158,8 +190,9 @@ def _weigh(docs: DataFrame, weights: Weights, *keep: str) -> DataFrame:
                     found.append(model.document(got))
                     sizes.append(len(got))
             weight, size = np.asarray(found, float), np.asarray(sizes, np.int64)
-            keys = weight + np.asarray([_noise(i, t) for i, t in zip(ids, texts)], float)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(weight), pa.array(size), pa.array(keys), pa.array(model.probability(weight, size))], names=[*batch.schema.names[:-1], "log_weight", "n_grams", "gumbel_key", "p_good"])
+            odds = model.log_odds(weight, size)
+            keys = odds + np.asarray([_noise(i, t) for i, t in zip(ids, texts)], float)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(weight), pa.array(size), pa.array(keys), pa.array(1 / (1 + np.exp(-odds)))], names=[*batch.schema.names[:-1], "log_weight", "n_grams", "gumbel_key", "p_good"])
 
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *keep, text_or_empty("text").alias("text"))
     return picked.mapInArrow(run, f"doc_id long, {kinds + ', ' if kinds else ''}log_weight double, n_grams long, gumbel_key double, p_good double")
@@ -216,10 +249,14 @@ def keep_good(docs: DataFrame, labels: DataFrame, *, max_labelled: int = 20_000,
         for batch in batches:
             texts = [t or "" for t in batch.column(text_at).to_pylist()]
             ids = batch.column(id_at).to_pylist()
-            keys = []
+            weights, sizes = [], []
             for part in parts(map(len, texts), 1_000_000):
-                keys += [model.document(grams(raw)) for raw in cache.join([t.split() for t in texts[part]])]
-            mask = [w + _noise(i, t) >= limit for w, i, t in zip(keys, ids, texts)]
+                for raw in cache.join([t.split() for t in texts[part]]):
+                    found = grams(raw)
+                    weights.append(model.document(found))
+                    sizes.append(len(found))
+            odds = model.log_odds(np.asarray(weights, float), np.asarray(sizes, np.int64))
+            mask = [w + _noise(i, t) >= limit for w, i, t in zip(odds.tolist(), ids, texts)]
             yield batch.filter(pa.array(mask, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -553,3 +553,129 @@ def test_html_is_linear_on_hostile_pages(text):
     began = time.time()
     main_text(text)
     assert time.time() - began < 10
+
+
+def test_near_duplicates_of_long_documents_and_hot_groups(spark):
+    """Recall over 1024 shingles, two components of near copies of one text, and many rows of one id."""
+    import time
+
+    from siltwork.llm.near_duplicates import near_duplicates
+
+    long = [prose(3000, 50), prose(3000, 51)]
+    texts = [edited(t, n, 7 * n) for t in long for n in (0, 20, 40, 45, 47, 50, 60, 120)]
+    rows = {r.doc_id: r for r in near_duplicates(docs(spark, texts)).collect()}
+    sizes, label = brute_near(texts)
+    assert [rows[i].n_shingles for i in range(len(texts))] == sizes
+    links = [(i, j) for i in range(len(texts)) for j in range(i) if label[i] == label[j]]
+    found = sum(rows[i].component_id == rows[j].component_id for i, j in links)
+    assert len(links) > 10 and found >= 0.9 * len(links)
+    assert all(label[rows[i].component_id] == label[i] for i in range(len(texts)))
+    base = prose(80, 60)
+    other = edited(base, 4, 1)
+    texts = [edited(base, 1, k) for k in range(150)] + [edited(other, 1, k) for k in range(150)]
+    rows = {r.doc_id: r for r in near_duplicates(docs(spark, texts), chunk_rows=40).collect()}
+    assert [rows[i].component_id for i in range(len(texts))] == brute_near(texts)[1]
+    began = time.time()
+    many = spark.createDataFrame([(k % 2, edited(base, 1, k)) for k in range(3000)], "doc_id long, text string")
+    assert {r.component_id for r in near_duplicates(many).collect()} == {0}
+    assert time.time() - began < 240
+
+
+def test_repetitive_item_and_longest_match(spark):
+    import time
+
+    from siltwork.llm.leaks import contamination, find_leaks, suffix_array
+
+    for n, kinds in ((1, 2), (60, 2), (300, 3), (500, 1)):
+        ids = np.append(np.random.default_rng(n).integers(1, kinds + 1, n), -1)
+        array, rank, _ = suffix_array(ids)
+        assert array.tolist() == sorted(range(len(ids)), key=lambda i: ids[i:].tolist()) and (rank[array] == np.arange(len(ids))).all()
+    items = [(1, "a " * 2000), (2, prose(30, 4))]
+    texts = ["a " * 4000, "x " + prose(30, 4) + " y", prose(30, 4)[20:], "a a a a a a a"]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    table = spark.createDataFrame([(i, t, "x", 5) for i, t in enumerate(texts)], "doc_id long, text string, leak string, leak_ int")
+    began = time.time()
+    rows = {r.doc_id: r for r in contamination(table, bench).collect()}
+    assert time.time() - began < 60
+    assert [(rows[i].n_words, rows[i].n_hit, rows[i].n_items) for i in range(4)] == [brute_leaks(t, items)[:3] for t in texts]
+    assert [(rows[i].longest_words, rows[i].longest_start) for i in (0, 1, 3)] == [(2000, 0), (30, 1), (0, None)] and rows[1].leak == "x" and rows[1].leak_ == 5
+    matches = [r for r in find_leaks(table, bench).collect() if r.doc_id == 1][0]["leak__"].matches
+    assert [(m.item_id, m.doc_start, m.item_start, m.n_words) for m in matches] == [("2", 1, 0, 30)]
+
+
+def test_quality_weights_keys_and_held_out_labels(spark):
+    from collections import Counter
+
+    from siltwork.llm import quality
+
+    r, vocabulary = random.Random(6), prose(60, 0).split()
+    texts = [" ".join(r.choices(vocabulary, k=30)) for _ in range(80)]
+    texts = [t if i % 4 else t.upper() for i, t in enumerate(texts)]
+    labels = spark.createDataFrame([(i, int(i % 4 > 0)) for i in range(80)], "doc_id long, quality int")
+    table = docs(spark, texts)
+    rows = {x.doc_id: x for x in quality.resample(table, labels, k=25).collect()}
+    found = [quality.grams(quality._cache().join([t.split()])[0]).tolist() for t in texts]
+    raw, target = Counter(), Counter()
+    for i, g in enumerate(found):
+        raw.update(g)
+        target.update(g if i % 4 else [])
+    n, m, b = sum(raw.values()), sum(target.values()), quality.BUCKETS
+
+    def ratio(g):
+        return np.log((target[g] + raw[g] / n * b * 0.01 + 1e-3) / (m + b * 0.01 + 1e-3 * b)) - np.log((raw[g] + 1e-3) / (n + 1e-3 * b))
+
+    want = [sum(ratio(g) for g in x) for x in found]
+    assert all(abs(rows[i].log_weight - w) < 1e-6 and rows[i].n_grams == len(found[i]) for i, w in enumerate(want))
+    fitted = quality.fit(table, labels)
+    odds = fitted.log_odds(np.asarray(want), np.asarray([len(x) for x in found]))
+    assert all(abs(rows[i].gumbel_key - odds[i] - quality._noise(i, texts[i])) < 1e-6 for i in rows)
+    assert {i for i, x in rows.items() if x.kept} == set(sorted(rows, key=lambda i: -rows[i].gumbel_key)[:25])
+    sf = "/root/testdata/sf0.01"
+    known = {x.doc_id: x.quality for x in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    held = {i for i in known if zlib.crc32(str(i).encode()) % 4 == 2}
+    train = spark.read.parquet(f"{sf}/labels.parquet").where(~__import__("siltwork.llm.toxicity", fromlist=["f"]).held_out())
+    kept = {x.doc_id: x.kept for x in quality.resample(spark.read.parquet(f"{sf}/documents.parquet"), train).collect()}
+    agree = sum(int(kept[i]) == known[i] for i in held) / len(held)
+    print("held-out agreement", agree, len(held))
+    assert len(held) > 50 and agree >= 0.95
+
+
+def test_toxicity_scores_equal_brute_force(spark):
+    from itertools import combinations
+
+    from siltwork.llm.toxicity import Machine, _term_sets, run_terms, score
+    from siltwork.llm.chunks import RunCache
+
+    texts = ["one two three", "Two TWO four", "", None, "five", "one two three four five six " * 50]
+    terms = sorted({t for x in texts for w in (x or "").split() for t in run_terms(w)})[::2]
+    rng = np.random.default_rng(0)
+    machine = Machine(-0.5, np.asarray(terms, np.uint32), rng.normal(size=len(terms)), rng.normal(size=(len(terms), 4)))
+    got = {r.doc_id: r for r in score(docs(spark, texts), machine).collect()}
+    place = {t: k for k, t in enumerate(terms)}
+    for i, t in enumerate(texts):
+        at = sorted({place[x] for w in (t or "").split() for x in run_terms(w) if x in place})
+        z = -0.5 + sum(machine.weights[k] for k in at) + sum(machine.vectors[a] @ machine.vectors[b] for a, b in combinations(at, 2))
+        want = 1 / (1 + np.exp(-z)) if abs(z) < 500 else float(z > 0)
+        assert abs(got[i].score - want) < 1e-9 and got[i].predicted == int(want >= 0.3)
+
+
+def test_pipeline_stages_on_odd_tables(spark, tmp_path):
+    """Nulls, empty texts, repeats, empty tables and clashing names through every stage."""
+    import corpus_pipeline
+
+    rows = [(1, prose(40, 1)), (1, prose(40, 1)), (None, None), (2, ""), (3, None), (None, prose(20, 3)), (4, "mail me@x.org " + prose(20, 4))]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, leak string, h long, more string, pii_email string, kept boolean"
+    (tmp_path / "sf").mkdir()
+    spark.createDataFrame([(9, prose(12, 9))], "item_id long, text string").write.parquet(f"{tmp_path}/sf/benchmark.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/sf/labels.parquet")
+    full = [(i, t, "en", "s", len(t or ""), "l", 1, "m", "e", True) for i, t in rows]
+    for name, data in (("full", full), ("none", [])):
+        now = spark.createDataFrame(data, schema)
+        for k, (stage, call) in enumerate(corpus_pipeline.STAGES[:-1]):
+            call(spark, now, f"{tmp_path}/sf").write.parquet(f"{tmp_path}/{name}{k}")
+            after = spark.read.parquet(f"{tmp_path}/{name}{k}")
+            assert after.columns == now.columns
+            now = after
+        got = now.collect()
+        assert len(got) == len(data) and all((r.leak, r.h, r.more, r.pii_email, r.kept) == ("l", 1, "m", "e", True) for r in got)
+        assert corpus_pipeline.STAGES[-1][1](spark, now, f"{tmp_path}/sf").select("doc_id").count() == len(data)
