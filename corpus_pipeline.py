@@ -3,8 +3,8 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read
 again as the next one's docs.  All but the last return the columns of documents.
 
-Defined cases: a null or empty text has no labels' words, shingles, windows or personal data, so all
-stages keep it, and packing gives its end id only; a null doc_id keeps its row, and links with
+Defined cases: a null or empty text has no words, so quality weighs it as a text without evidence, the
+stages after keep it, and packing gives its end id only; a null doc_id keeps its row, and links with
 nothing; repeated rows share one fate, but near-duplicates keep every row of the id that stays; an
 empty table gives an empty table; other columns pass through, whatever their names.
 """
