@@ -63,12 +63,19 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents are files of their source's directory; none is a licence file, so none speaks for others."""
+    """Documents are files below their source; one whose source is the path of a licence file is that file.
+
+    A licence file is named LICENSE, COPYING, NOTICE or UNLICENSE, with any ending, and lies in a
+    directory, for which it speaks.  A source without a directory is the name of a collection, whose
+    documents do not speak for each other.
+    """
     from pyspark.sql import functions as F
 
     from siltwork.llm.licenses import licences
 
-    path = F.concat_ws("/", "source", F.format_string("%d.txt", F.col("doc_id").cast("long")))
+    names_file = F.col("source").rlike(r"(?i)[^/]/+(?:licen[cs]e|copying|notice|unlicense)(?:[-_.?#][^/]*)?$")
+    below = F.concat_ws("/", "source", F.format_string("%d.txt", F.col("doc_id").cast("long")))
+    path = F.when(names_file, F.col("source")).otherwise(below)
     files = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), path.alias("path"), "text")
     return licences(files).withColumnRenamed("id", "doc_id")
 

@@ -490,6 +490,24 @@ def test_licence_scores_and_ancestors_equal_brute_force(spark):
             assert abs(got[i].score - o[1]) < 2e-6
 
 
+def test_licence_query_inherits_from_licence_files_among_the_sources(spark, tmp_path):
+    from siltwork.llm.queries import op9_licenses
+
+    mit, apache, cc = "Released under the MIT License.", "Licensed under the Apache License, Version 2.0", "Licensed under CC BY-NC 4.0."
+    rows = [
+        ("git.org/a/LICENSE", mit, "MIT", "header"), ("git.org/a/src/x.c", "int main", "MIT", "inherited"), ("git.org/a", "prose", "MIT", "inherited"), ("git.org/a/src/y.c", apache, "Apache-2.0", "header"),
+        ("git.org/a/lib/COPYING.txt", apache, "Apache-2.0", "header"), ("git.org/a/lib/z.c", None, "Apache-2.0", "inherited"), ("git.org/ab/x.c", "int main", None, None), ("git.org/x", "", None, None),
+        ("src3", cc, "CC-BY-NC-4.0", "header"), ("src3", "prose", None, None), ("LICENSE", mit, "MIT", "header"), ("/LICENSE", mit, "MIT", "header"), (None, "prose", None, None), (None, cc, "CC-BY-NC-4.0", "header"),
+        ("set/licensed-books", cc, "CC-BY-NC-4.0", "header"), ("set/noticeboard", cc, "CC-BY-NC-4.0", "header"), ("set/other", "prose", None, None), ("b/LICENSE", "no words of law", None, None), ("b/x", "prose", None, None),
+        ("https://h.org/c/LICENSE?raw=1", mit, "MIT", "header"), ("https://h.org/c/x", "prose", "MIT", "inherited"),
+    ]
+    table = spark.createDataFrame([(i, t, "en", s, None) for i, (s, t, _, _) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long")
+    table.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in op9_licenses(spark, str(tmp_path)).collect()}
+    assert [(got[i].licence, got[i].how) for i in range(len(rows))] == [r[2:] for r in rows]
+    assert got[1].from_path == got[2].from_path == "/git.org/a/LICENSE" and got[5].from_path == "/git.org/a/lib/COPYING.txt"
+
+
 def test_personal_data_with_clashing_names_and_many_matches(spark):
     import time
 
